@@ -69,3 +69,28 @@ def shorten(col: Column, n: int, mark: str = "") -> Column:
     if not mark:
         return head
     return F.when(F.length(col) > n, F.concat(head, F.lit(mark))).otherwise(head)
+
+
+def fixed(x: Column, digits: int) -> Column:
+    """A number with ``digits`` (at most 3) decimals, as text, rounded half to even.
+
+    The rounding sees the exact binary value, as C's ``printf`` does; ``round`` and
+    ``format_string`` go by the shortest decimal text and differ on 20.15 and the
+    like. The fraction is scaled by powers of two, which is exact, and split with
+    whole-number arithmetic.
+    """
+    unit = 1 << 52
+    size = F.abs(x.cast("double"))
+    whole = F.floor(size)
+    scaled = (size - whole) * F.lit(float(unit))
+    bits = F.floor(scaled)
+    tens = bits * F.lit(10**digits)
+    rest = F.pmod(tens, F.lit(unit))
+    kept = F.shiftright(tens - rest, 52)
+    above = (rest * 2 > unit) | ((rest * 2 == unit) & ((scaled > bits) | (kept % 2 == 1)))
+    number = whole * F.lit(10**digits) + kept + F.when(above, 1).otherwise(0)
+    tail = F.pmod(number, F.lit(10**digits))
+    head = ((number - tail) / F.lit(10**digits)).cast("bigint").cast("string")
+    sign = F.when(x < 0, "-").otherwise("")
+    text = F.concat(sign, head) if digits == 0 else F.concat(sign, head, F.lit("."), F.lpad(tail.cast("string"), digits, "0"))
+    return F.when(x.isNotNull(), text)

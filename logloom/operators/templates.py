@@ -125,7 +125,7 @@ class _Clusters:
 
 
 def _mine_batch(threshold: float):
-    def mine(key, batch: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    def mine(key: tuple, batch: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         n_tok, block = int(key[0]), int(key[1])
         known = known.sort_values("founder")
         clusters = _Clusters(n_tok, threshold, known["founder"].tolist(), known["tokens"])
@@ -155,14 +155,14 @@ def _mine_first(threshold: float):
     mine = _mine_batch(threshold)
     nothing = pd.DataFrame({"founder": pd.Series([], dtype="int64"), "tokens": pd.Series([], dtype="object")})
 
-    def first(key, batch: pd.DataFrame) -> pd.DataFrame:
+    def first(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
         return mine(key, batch, nothing)
 
     return first
 
 
 def _cover(threshold: float):
-    def cover(key, arrays: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    def cover(key: tuple, arrays: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         n_tok = int(key[0])
         ends = known.loc[known["kind"] == "end", "id"]
         if len(ends):

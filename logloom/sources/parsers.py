@@ -34,44 +34,54 @@ def make_timestamp(year: Column, month: Column, day: Column, time: Column) -> Co
 
 
 def month_number(name: Column) -> Column:
-    lowered = F.lower(name)
-    number = F.lit(None).cast("int")
-    for i, month in enumerate(_MONTHS, 1):
-        number = F.when(lowered == month, F.lit(i)).otherwise(number)
-    return number
+    months = F.create_map(*[F.lit(v) for i, month in enumerate(_MONTHS, 1) for v in (month, i)])
+    return F.element_at(months, F.lower(name))
 
 
-def _entries(df: DataFrame, source: str, timestamp, level, component, message, pid) -> DataFrame:
-    matched = F.col("_g").isNotNull()
+def _entries(df: DataFrame, source: str, level: Column) -> DataFrame:
+    matched = F.col("matched")
     return as_entries(
         df.select(
-            F.when(matched, timestamp).alias("timestamp"),
+            "timestamp",
             F.when(matched, level).otherwise("Info").alias("level"),
-            F.when(matched, component).otherwise("").alias("component"),
-            F.when(matched, message).otherwise(F.col("text")).alias("message_raw"),
-            F.when(matched, pid).otherwise("").alias("pid"),
+            "component",
+            "message_raw",
+            "pid",
             F.lit(source).alias("source"),
             "line",
         )
     )
 
 
+def _fields(lines: DataFrame, pattern: str, n: int, timestamp: Column, **parts: Column) -> DataFrame:
+    # Step by step: a projection whose columns are used several times is kept apart by
+    # the optimizer, so the regex and the strip run once per line.
+    groups = lines.select("line", "text", match_groups(F.col("text"), pattern, n).alias("g"))
+    matched = F.col("g").isNotNull()
+    return groups.select(
+        "line",
+        matched.alias("matched"),
+        F.when(matched, timestamp).alias("timestamp"),
+        F.when(matched, strip(F.col("g")[n - 1])).otherwise(F.col("text")).alias("message_raw"),
+        *[F.when(matched, c).otherwise("").alias(name) for name, c in parts.items()],
+    )
+
+
 def parse_syslog(lines: DataFrame, year: int | None = None, strict_leap_day: bool = False, ruleset: str = "current") -> DataFrame:
     """Entries from ``Mon D hh:mm:ss host program[pid]: message`` lines.
 
     The shape has no year; ``year`` defaults to the current one. ``strict_leap_day``
     turns February 29 into null, as a parser that fixes the year afterwards does.
+    Store the result before analysing it: filters on parsed columns would otherwise
+    be pushed below the parse and repeat it.
     """
-    year = year or dt.date.today().year
-    df = lines.select("line", "text", match_groups(F.col("text"), P.SYSLOG, 7).alias("_g"))
-    # Split once into plain columns: the array is not rebuilt for each use.
-    month, day, time, program, pid, message = (F.col("_g")[i] for i in (0, 1, 2, 4, 5, 6))
-    month = month_number(month)
-    stamp = make_timestamp(F.lit(year), month, day, time)
+    g = F.col("g")
+    month = month_number(g[0])
+    stamp = make_timestamp(F.lit(year or dt.date.today().year), month, g[1], g[2])
     if strict_leap_day:
-        stamp = F.when((month != 2) | (day.try_cast("int") != 29), stamp)
-    message = strip(message)
-    return _entries(df, "linux", stamp, infer_level(message, program, ruleset), program, message, pid)
+        stamp = F.when((month != 2) | (g[1].try_cast("int") != 29), stamp)
+    df = _fields(lines, P.SYSLOG, 7, stamp, component=g[4], pid=g[5])
+    return _entries(df, "linux", infer_level(F.col("message_raw"), F.col("component"), ruleset))
 
 
 def parse_servicing(lines: DataFrame, ruleset: str = "current") -> DataFrame:
@@ -79,10 +89,9 @@ def parse_servicing(lines: DataFrame, ruleset: str = "current") -> DataFrame:
 
     The level word of the line stands unless the message reads as Error or Warning.
     """
-    df = lines.select("line", "text", match_groups(F.col("text"), P.SERVICING, 5).alias("_g"))
-    date, time, level, component, message = (F.col("_g")[i] for i in range(5))
-    stamp = make_timestamp(F.substring(date, 1, 4), F.substring(date, 6, 2), F.substring(date, 9, 2), time)
-    message = strip(message)
-    inferred = infer_level(message, component, ruleset)
-    level = F.when(inferred.isin("Error", "Warning"), inferred).otherwise(level)
-    return _entries(df, "windows", stamp, level, component, message, F.lit(""))
+    g = F.col("g")
+    stamp = make_timestamp(F.substring(g[0], 1, 4), F.substring(g[0], 6, 2), F.substring(g[0], 9, 2), g[1])
+    df = _fields(lines, P.SERVICING, 5, stamp, word=g[2], component=g[3], pid=F.lit(""))
+    df = df.withColumn("inferred", infer_level(F.col("message_raw"), F.col("component"), ruleset))
+    level = F.when(F.col("inferred").isin("Error", "Warning"), F.col("inferred")).otherwise(F.col("word"))
+    return _entries(df, "windows", level)
