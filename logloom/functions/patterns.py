@@ -32,9 +32,17 @@ VARIABLE = (
 
 WILDCARD = "<*>"
 
+# the same tokens inside a text whose words stand one blank apart
+VARIABLE_WORD = (
+    r"(?U)(?<![^ ])(?:<[^ ]*>|\d+|0x[0-9a-fA-F]+|(?:\d{1,3}\.){3}\d{1,3}|[/\\][^ ]*"
+    r"|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
+    r"|[^@ ]+@[^@ ]+\.[^@ ]+|[\w-]+\.\w{2,}|@[^ ]*|[0-9a-fA-F]{40,})(?![^ ])"
+)
+
 # blanks: Unicode white space and the four information separators
-BLANKS = r"(?U)[\s\x1c-\x1f]+"
-OUTER_BLANKS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+_BLANK = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+BLANKS = _BLANK + "+"
+OUTER_BLANKS = f"^{_BLANK}+|{_BLANK}+$"
 
 # whole words that decide the severity of a message
 ERROR_WORDS = ("ERROR", "FAILED", "FATAL", "ALERT", "CRITICAL")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,7 +14,9 @@ RULESETS = ("current", "legacy")
 
 
 def _has_word(col: Column, words) -> Column:
-    return col.rlike(r"(?U)\b(?:" + "|".join(words) + r")\b")
+    # A plain search rules most messages out before the word boundaries are looked at.
+    some = reduce(or_, [F.contains(col, F.lit(w)) for w in words])
+    return some & col.rlike(r"(?U)\b(?:" + "|".join(words) + r")\b")
 
 
 def infer_level(message: Column, component: Column | None = None, ruleset: str = "current") -> Column:
@@ -29,7 +34,7 @@ def infer_level(message: Column, component: Column | None = None, ruleset: str =
     level = level.when(_has_word(upper, P.WARNING_WORDS), "Warning")
     if legacy:
         level = level.when(_has_word(upper, P.INFO_WORDS), "Info")
-    level = level.when(message.rlike(P.FAILED_HRESULT), "Error")
+    level = level.when(F.contains(message, F.lit("HRESULT")) & message.rlike(P.FAILED_HRESULT), "Error")
     if component is not None:
         name = F.upper(component)
         for word in ("Error", "Warning", "Info"):

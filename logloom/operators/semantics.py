@@ -69,13 +69,13 @@ def sparse_distances(weights: DataFrame, texts: DataFrame) -> DataFrame:
 
 def dense_from_sparse(weights: DataFrame, texts: DataFrame) -> DataFrame:
     """``(template_idx, template, vector)`` with one position per kept term, in term order."""
-    # One row of at most max_terms names.
-    terms = weights.select("term").distinct().agg(F.array_sort(F.collect_list("term")).alias("terms"))
+    # At most max_terms names.
+    terms = weights.select("term").distinct().agg(F.array_sort(F.collect_list("term")).alias("t")).scalar()
     packed = weights.groupBy("template_idx").agg(
         F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("by_term")
     )
     zero = F.lit(0.0)
-    return texts.join(packed, "template_idx", "left").join(F.broadcast(terms), F.lit(True)).select(
+    return texts.join(packed, "template_idx", "left").withColumn("terms", terms).select(
         "template_idx",
         "template",
         F.transform("terms", lambda t: F.coalesce(F.element_at("by_term", t), zero)).alias("vector"),
@@ -109,9 +109,8 @@ def label_distances(vectors: DataFrame, label: str = "label") -> DataFrame:
 
 def dense_distances(vectors: DataFrame) -> DataFrame:
     """Add ``distance`` to the normalised centroid of all vectors."""
-    center = vectors.agg(unit(_mean()).alias("_center"))
-    # The centroid is one row, so this broadcast is bounded by one vector.
-    joined = vectors.join(F.broadcast(center), F.lit(True))
+    # A column of its own first: a subquery may not stand inside a function over arrays.
+    joined = vectors.withColumn("_center", vectors.agg(unit(_mean()).alias("c")).scalar())
     return joined.select(*vectors.columns, (F.lit(1.0) - dot(F.col("vector"), F.col("_center"))).alias("distance"))
 
 

@@ -30,7 +30,8 @@ from logloom.operators.components import connected_components
 from logloom.operators.numbering import cut_lineage, dense_number
 
 BATCH = 20_000  # distinct arrays mined in order by one task and round
-COVER_ROWS = 50_000  # arrays tested against the clusters by one task
+COVER_ROWS = 10_000  # arrays tested against the clusters by one task
+SPLIT_AFTER = 2  # rounds before what is left is cut into components
 
 _TESTED = "n_tok int, block bigint, salt bigint, first_line bigint, tokens array<string>, founder bigint"
 _MINED = "n_tok int, block bigint, kind string, id bigint, founder bigint, tokens array<string>"
@@ -39,7 +40,9 @@ _MINED = "n_tok int, block bigint, kind string, id bigint, founder bigint, token
 def masked_template_ids(entries: DataFrame) -> DataFrame:
     """Add ``template`` (masked) and ``event_id``, numbered by first appearance; 0 if empty."""
     masked = entries.withColumn("template", masked_template(F.col("message_raw")))
-    firsts = masked.filter(F.col("template") != "").groupBy("template").agg(F.min("line").alias("_first"))
+    # Null for the empty template: a filter on the template itself would repeat the masking.
+    first = F.min(F.when(F.col("template") != "", F.col("line")))
+    firsts = masked.groupBy("template").agg(first.alias("_first")).filter(F.col("_first").isNotNull())
     ids = dense_number(firsts, "_first", "event_id").select("template", "event_id")
     joined = masked.join(ids, "template", "left").withColumn("event_id", F.coalesce("event_id", F.lit(0)))
     return joined.select(*entries.columns, "event_id", "template")
@@ -54,7 +57,7 @@ def tolerated(n: Column, threshold: float) -> Column:
 
 
 def _literal_wildcards(tokens: Column) -> Column:
-    return F.size(F.filter(tokens, lambda t: t == WILDCARD))
+    return F.size(tokens) - F.size(F.array_remove(tokens, WILDCARD))
 
 
 def _never_joins(tokens: Column, threshold: float) -> Column:
@@ -224,44 +227,47 @@ def _segments(tokens: Column, n: Column, m: Column) -> Column:
     )
 
 
-def _with_blocks(arrays: DataFrame, threshold: float, batch: int) -> DataFrame:
-    """Add ``block`` so that arrays of different blocks can never share a cluster.
+def _component_blocks(arrays: DataFrame, threshold: float, batch: int) -> DataFrame:
+    """``(first_line, new_block)`` so that arrays of different blocks can never share a cluster.
 
-    Short buckets are one block. Longer ones are cut into components, hashed into
-    about as many blocks as they hold batches; a hash that joins two components
-    costs time, not correctness.
+    Components are hashed into about as many blocks per length as there are batches;
+    a hash that joins two components costs time, not correctness.
     """
-    sizes = arrays.groupBy("n_tok").agg(F.count(F.lit(1)).alias("bucket_rows"))
-    sized = arrays.join(sizes, "n_tok")
-    if arrays.groupBy("n_tok").count().filter(F.col("count") > batch).isEmpty():
-        return sized.withColumn("block", F.lit(0).cast("bigint"))
-    long = sized.filter(F.col("bucket_rows") > batch)
-    keys = long.select(
+    keys = arrays.select(
         "first_line",
         F.explode(_segments(F.col("tokens"), F.col("n_tok"), tolerated(F.col("n_tok"), threshold))).alias("segment"),
     )
     hubs = keys.groupBy("segment").agg(F.min("first_line").alias("hub"))
     edges = keys.join(hubs, "segment").select(F.col("first_line").alias("u"), F.col("hub").alias("v"))
     components = connected_components(edges)
-    spread = F.pmod(F.xxhash64("component"), F.ceil(F.col("bucket_rows") / batch))
-    return (
-        sized.join(components, sized["first_line"] == components["node"], "left")
-        .withColumn("component", F.coalesce("component", "first_line"))
-        .withColumn("block", F.when(F.col("bucket_rows") > batch, spread).otherwise(0).cast("bigint"))
-        .drop("node", "component")
+    sizes = arrays.groupBy("n_tok").agg(F.ceil(F.count(F.lit(1)) / batch).alias("n_blocks"))
+    placed = arrays.select("n_tok", "first_line").join(sizes, "n_tok")
+    placed = placed.join(components, placed["first_line"] == components["node"], "left")
+    return placed.select(
+        "first_line",
+        F.pmod(F.xxhash64(F.coalesce("component", "first_line")), F.col("n_blocks")).cast("bigint").alias("new_block"),
     )
 
 
-def mine_templates(entries: DataFrame, threshold: float = 0.75, batch: int = BATCH, cover_rows: int = COVER_ROWS) -> MinedTemplates:
+def mine_templates(
+    entries: DataFrame,
+    threshold: float = 0.75,
+    batch: int = BATCH,
+    cover_rows: int = COVER_ROWS,
+    split_after: int = SPLIT_AFTER,
+) -> MinedTemplates:
     """Similarity templates of the messages, exactly as first fit in line order gives them.
 
     ``line`` must be unique over ``entries``. ``batch`` bounds what one task mines in
-    sequence per round, ``cover_rows`` what one task tests; neither changes results.
+    sequence per round, ``cover_rows`` what one task tests. Messages of one length
+    are one block at first; what outlasts ``split_after`` rounds is cut into
+    components. None of the three changes results.
     """
-    tokens = entries.select("line", tokenize(F.col("message_raw")).alias("tokens")).filter(F.size("tokens") > 0)
-    joins = tokens.filter(~_never_joins(F.col("tokens"), threshold))
-    arrays = joins.groupBy("tokens").agg(F.min("line").alias("first_line")).withColumn("n_tok", F.size("tokens"))
-    arrays = cut_lineage(arrays, "arrays")
+    tokens = entries.select("line", tokenize(F.col("message_raw")).alias("tokens"))
+    arrays = tokens.groupBy("tokens").agg(F.min("line").alias("first_line"))
+    # Filters come after the store: before it they would repeat the split into words.
+    arrays = cut_lineage(arrays.withColumn("n_tok", F.size("tokens")), "arrays")
+    arrays = arrays.filter((F.col("n_tok") > 0) & ~_never_joins(F.col("tokens"), threshold))
 
     # Without tolerance every distinct array is a cluster of its own: nothing to mine.
     alone = tolerated(F.col("n_tok"), threshold) < 1
@@ -271,58 +277,67 @@ def mine_templates(entries: DataFrame, threshold: float = 0.75, batch: int = BAT
         fixed.select(F.col("first_line").alias("founder"), F.col("first_line").alias("valid_from"), "tokens")
     ]
 
-    left = cut_lineage(_with_blocks(arrays.filter(~alone), threshold, batch), "blocks")
-    block_rows = left.groupBy("n_tok", "block").agg(F.count(F.lit(1)).alias("rows"))
-    one_round = block_rows.filter(F.col("rows") > batch).isEmpty()
-    if not one_round:
-        salts = block_rows.select("n_tok", "block", F.ceil(F.col("rows") / cover_rows).alias("salts"))
-        salts = cut_lineage(salts, "salts")
-        left = left.join(salts, ["n_tok", "block"]).select(
-            "n_tok", "block", F.pmod(F.xxhash64("first_line"), F.col("salts")).alias("salt"), "first_line", "tokens"
-        )
+    left = arrays.filter(~alone).withColumn("block", F.lit(0).cast("bigint"))
+    keys = ["n_tok", "block"]
     known = None
     rounds = 0
-    in_order = Window.partitionBy("n_tok", "block").orderBy("first_line")
     while not left.isEmpty():
         rounds += 1
+        rows = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+        last = rows.filter(F.col("rows") > batch).isEmpty()
+        if rounds == split_after + 1 and not last:
+            founders = arrays.join(known.select(F.col("founder").alias("first_line")), "first_line", "left_semi")
+            together = left.select("n_tok", "first_line", "tokens").unionByName(
+                founders.select("n_tok", "first_line", "tokens")
+            )
+            blocks = cut_lineage(_component_blocks(together, threshold, batch), "blocks")
+            left = left.join(blocks, "first_line").withColumn("block", F.col("new_block")).drop("new_block")
+            left = cut_lineage(left, "left")
+            known = known.join(blocks, known["founder"] == blocks["first_line"]).select(
+                "n_tok", F.col("new_block").alias("block"), "founder", "tokens"
+            )
+            rows = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+        # A short first batch: most logs repeat a few shapes, which it finds.
+        limit = batch if last or rounds > 1 else max(1, batch // 4)
         # The rank limit is applied before the shuffle too, so a hot block sends little.
-        head = left.withColumn("_rank", F.row_number().over(in_order)).filter(F.col("_rank") <= batch).drop("_rank")
-        blocks = head.groupBy("n_tok", "block")
+        in_order = Window.partitionBy(*keys).orderBy("first_line")
+        head = left.withColumn("rank", F.row_number().over(in_order)).filter(F.col("rank") <= limit).drop("rank")
+        blocks = head.groupBy(*keys)
         if known is None:
             mined = blocks.applyInPandas(_mine_first(threshold), _MINED)
         else:
-            mined = blocks.cogroup(known.groupBy("n_tok", "block")).applyInPandas(_mine_batch(threshold), _MINED)
+            # Only blocks with arrays left; the others are finished.
+            open_blocks = known.join(rows.select(*keys), keys, "left_semi")
+            mined = blocks.cogroup(open_blocks.groupBy(*keys)).applyInPandas(_mine_batch(threshold), _MINED)
         mined = cut_lineage(mined, "mined")
         members.append(mined.filter(F.col("kind") == "member").select("id", "founder"))
         fresh = mined.filter(F.col("kind") == "version")
         versions.append(fresh.select("founder", F.col("id").alias("valid_from"), "tokens"))
-        if one_round:
+        if last:
             break
 
-        latest = fresh.groupBy("n_tok", "block", "founder").agg(F.max_by("tokens", "id").alias("tokens"))
+        latest = fresh.groupBy(*keys, "founder").agg(F.max_by("tokens", "id").alias("tokens"))
         if known is not None:
-            kept = known.join(latest.select("n_tok", "block", "founder"), ["n_tok", "block", "founder"], "left_anti")
-            latest = latest.unionByName(kept)
+            latest = latest.unionByName(known.join(latest.select("founder"), "founder", "left_anti"))
         known = cut_lineage(latest, "known")
-        ends = mined.filter(F.col("kind") == "end").select(
-            "n_tok", "block", "kind", "id", "founder", F.col("tokens")
-        )
         state = known.select(
-            "n_tok", "block", F.lit("version").alias("kind"), F.lit(0).cast("bigint").alias("id"), "founder", "tokens"
-        ).unionByName(ends)
-        copies = state.join(salts, ["n_tok", "block"]).withColumn(
+            *keys, F.lit("version").alias("kind"), F.lit(0).cast("bigint").alias("id"), "founder", "tokens"
+        ).unionByName(mined.filter(F.col("kind") == "end"))
+        salts = rows.select(*keys, F.ceil(F.col("rows") / cover_rows).alias("salts"))
+        salted = left.join(salts, keys).withColumn("salt", F.pmod(F.xxhash64("first_line"), F.col("salts")))
+        copies = state.join(salts, keys).withColumn(
             "salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1))
-        ).drop("salts")
-        keys = ["n_tok", "block", "salt"]
+        )
         tested = (
-            left.groupBy(*keys)
-            .cogroup(copies.groupBy(*keys))
+            salted.select(*keys, "salt", "first_line", "tokens")
+            .groupBy(*keys, "salt")
+            .cogroup(copies.drop("salts").groupBy(*keys, "salt"))
             .applyInPandas(_cover(threshold), _TESTED)
         )
         tested = cut_lineage(tested, "tested")
         covered = tested.filter(F.col("founder").isNotNull())
         members.append(covered.select(F.col("first_line").alias("id"), "founder"))
-        left = cut_lineage(tested.filter(F.col("founder").isNull()).drop("founder"), "left")
+        left = tested.filter(F.col("founder").isNull()).drop("founder", "salt")
 
     def together(parts):
         out = parts[0]

@@ -23,7 +23,7 @@ CLUSTER_SCHEMA = "cluster_id bigint, size bigint, percentage double, templates a
 
 @dataclass
 class Analysis:
-    """The tables of one run; all lazy but ``entries``, which is stored."""
+    """The tables of one run: entries and findings stored, distributions and series lazy."""
 
     source: str
     entries: DataFrame
@@ -83,9 +83,13 @@ def analyze(
             labels = C.kmeans(vectors)
             clusters = S.cluster_summary(texts.join(labels, "template_idx"))
 
-    stats = S.template_stats(rows)
-    anomalies = W.anomaly_windows(rows, minutes, threshold)
-    repeats = B.repetition_bursts(rows, min_repeats, burst_seconds)
+    # Results are small next to the log; stored, they serve the summary and the reports.
+    stats = cut_lineage(S.template_stats(rows), "stats")
+    anomalies = cut_lineage(W.anomaly_windows(rows, minutes, threshold), "anomalies")
+    repeats = cut_lineage(B.repetition_bursts(rows, min_repeats, burst_seconds), "bursts")
+    semantics = cut_lineage(semantics, "semantics")
+    clusters = cut_lineage(clusters, "clusters")
+    summary = S.run_summary(S.pattern_summary(rows, stats), anomalies, repeats, semantics)
     return Analysis(
         source=source,
         entries=rows,
@@ -98,7 +102,7 @@ def analyze(
         component_dist=S.component_distribution(rows),
         hour_dist=S.hour_distribution(rows),
         cluster_summaries=clusters,
-        summary=S.run_summary(S.pattern_summary(rows, stats), anomalies, repeats, semantics),
+        summary=cut_lineage(summary, "summary"),
     )
 
 

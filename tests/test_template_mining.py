@@ -65,7 +65,7 @@ def run(spark, texts, threshold, **options):
     return [(r["event_id"], r["template"]) for r in rows], mined
 
 
-@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("seed", range(2))
 @pytest.mark.parametrize("threshold", [0.75, 0.8])
 def test_one_round_matches_model(spark, seed, threshold):
     texts = messages(seed)
@@ -74,17 +74,17 @@ def test_one_round_matches_model(spark, seed, threshold):
     assert mined.rounds == 1
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_many_rounds_and_component_blocks_match_model(spark, seed):
     texts = messages(100 + seed, 250)
-    got, mined = run(spark, texts, 0.75, batch=12, cover_rows=9)
+    got, mined = run(spark, texts, 0.75, batch=16, cover_rows=9, split_after=1)
     assert got == model(texts, 0.75)
-    assert mined.rounds > 1
+    assert mined.rounds > 2
 
 
 def test_low_threshold_rounds(spark):
     texts = messages(5, 200)
-    got, mined = run(spark, texts, 0.5, batch=10, cover_rows=7)
+    got, mined = run(spark, texts, 0.5, batch=30, cover_rows=20)
     assert got == model(texts, 0.5)
 
 
@@ -152,7 +152,7 @@ def test_empty_input(spark):
     assert drain_templates(df).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(1))
 def test_components(spark, seed):
     rng = random.Random(seed)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)]
