@@ -138,11 +138,6 @@ def count_profile(stats: DataFrame, n: int = 20) -> DataFrame:
     return top.select((F.col("rank") - 1).alias("rank"), "count")
 
 
-def _block(spark, section: int, at: int, *texts: str) -> DataFrame:
-    rows = [(section, at + i, t) for i, t in enumerate(texts)]
-    return spark.createDataFrame(rows, "section int, ord int, line string")
-
-
 def _lines(df: DataFrame, section: int, rank: Column, line: Column, offset: int = 10) -> DataFrame:
     return df.select(
         F.lit(section).alias("section"), (rank + offset).cast("int").alias("ord"), line.alias("line")
@@ -172,27 +167,30 @@ def markdown_report(result: Analysis, variant: str = "current") -> DataFrame:
         raise ValueError("variant must be 'current' or 'legacy'")
     legacy = variant == "legacy"
     spark = result.entries.sparkSession
+    fixed_lines: list[tuple[int, int, str]] = []
+
+    def put(section: int, at: int, *texts: str) -> None:
+        fixed_lines.extend((section, at + i, t) for i, t in enumerate(texts))
+
     bold = lambda n: F.concat(F.lit("**"), n.cast("string"), F.lit("**"))
     cards = kpis(result.summary)
     if legacy:
         cards = cards.filter(F.col("ord") <= 5)
     head = F.concat(F.lit("- **"), F.col("metric"), F.lit(":** "), F.col("shown"))
-    parts = [
-        _block(spark, 0, 0, f"# Log Analysis Report — {result.source}", ""),
-        _lines(cards, 0, F.col("ord"), head, 2),
-        _block(spark, 0, 90, ""),
-        _block(spark, 1, 0, "## Level Distribution", "", "| Level | Count | % |", "|---|---|---|"),
-    ]
+    put(0, 0, f"# Log Analysis Report — {result.source}", "")
+    parts = [_lines(cards, 0, F.col("ord"), head, 2)]
+    put(0, 90, "")
+    put(1, 0, "## Level Distribution", "", "| Level | Count | % |", "|---|---|---|")
     levels = _ranked(result.level_dist, F.desc("count"), "level")
     percent = lambda c: F.concat(fixed(F.col(c), 1), F.lit("%"))
     parts.append(_lines(levels, 1, F.col("rank"), _row("level", _thousands(F.col("count")), percent("percentage"))))
-    parts.append(_block(spark, 2, 0, "", "## Top 10 Events", "", "| # | Template | Count | % |", "|---|---|---|---|"))
+    put(2, 0, "", "## Top 10 Events", "", "| # | Template | Count | % |", "|---|---|---|---|")
     top = top_events_table(result.template_stats)
     share = F.concat(F.col("percent"), F.lit("%"))
     parts.append(_lines(top, 2, F.col("rank"), _row("rank", "template", _thousands(F.col("count")), share)))
 
     title = "## Temporal Anomalies" if legacy else "## Temporal Anomaly Windows"
-    parts.append(_block(spark, 3, 0, "", title, ""))
+    put(3, 0, "", title, "")
     n = F.col("n_anomaly_windows")
     if legacy:
         lead = F.concat(F.lit("Detected "), bold(n), F.lit(" anomalous windows. Top 10:"))
@@ -209,7 +207,7 @@ def markdown_report(result: Analysis, variant: str = "current") -> DataFrame:
     line = _row(_second(F.col("timestamp")), count, fixed(F.col("count_zscore"), 1), last)
     parts.append(_lines(first, 3, F.col("rank"), line))
 
-    parts.append(_block(spark, 4, 0, "", "## Repetition Bursts", ""))
+    put(4, 0, "", "## Repetition Bursts", "")
     n = F.col("n_bursts")
     seconds = result.bursts.agg(F.max("window_seconds").cast("string").alias("s")).scalar()
     lead = F.concat(bold(n), F.lit(" repetition bursts ("), F.coalesce(seconds, F.lit("")), F.lit("s windows). Top 10:"))
@@ -222,7 +220,7 @@ def markdown_report(result: Analysis, variant: str = "current") -> DataFrame:
         _lines(table, 4, F.col("rank"), _row("timestamp", "event_id" if legacy else "template", "repeats"))
     )
 
-    parts.append(_block(spark, 5, 0, "", "## Semantic Anomalies", ""))
+    put(5, 0, "", "## Semantic Anomalies", "")
     n = F.col("n_semantic_anomalies")
     lead = F.concat(bold(n), F.lit(" semantically anomalous templates. Top 10:"))
     if legacy:
@@ -235,7 +233,7 @@ def markdown_report(result: Analysis, variant: str = "current") -> DataFrame:
     line = _row(shorten(F.col("template"), 60), fixed(F.col("distance"), 3), "severity")
     parts.append(_lines(table, 5, F.col("rank"), line))
 
-    parts.append(_block(spark, 6, 0, "", "## Semantic Clusters", ""))
+    put(6, 0, "", "## Semantic Clusters", "")
     table = _ranked(cluster_table(result.cluster_summaries), F.desc("size"), "cluster_id")
     line = F.concat(
         F.lit("- **Cluster "), F.col("cluster_id").cast("string"), F.lit("**: "), F.col("size").cast("string"),
@@ -243,7 +241,8 @@ def markdown_report(result: Analysis, variant: str = "current") -> DataFrame:
     )
     parts.append(_lines(table, 6, F.col("rank"), line))
     if not legacy:
-        parts.append(_block(spark, 7, 0, ""))
+        put(7, 0, "")
+    parts.append(spark.createDataFrame(fixed_lines, "section int, ord int, line string").coalesce(1))
     return reduce(DataFrame.unionByName, parts)
 
 
