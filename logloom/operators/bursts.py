@@ -53,7 +53,7 @@ def repetition_bursts(
     if own_event_only:
         looks = step(rows.join(reach.select(*keys), keys, "left_semi"), t, F.lit(0), _LOOKS)
     else:
-        times = timed.groupBy("t").agg(F.lit(1).alias("one")).select(t, bucket(t).alias("bucket"))
+        times = rows.select("t", "bucket").distinct()
         looks = step(times.join(reach.select(*keys), "bucket"), t, F.lit(0), _LOOKS)
     sweep = Window.partitionBy(*keys).orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
     counted = moves.unionByName(looks).withColumn("count_in_window", F.sum("delta").over(sweep))

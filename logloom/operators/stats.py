@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.schema import micros
@@ -158,30 +158,25 @@ def run_summary(patterns: DataFrame, anomalies: DataFrame, bursts: DataFrame, se
     )
 
 
-def cluster_summary(members: DataFrame, per_cluster: int | None = None) -> DataFrame:
-    """``(cluster_id, size, percentage, sample, templates)`` from ``(template_idx, template, cluster)``.
+def cluster_summary(members: DataFrame, with_templates: bool = False) -> DataFrame:
+    """``(cluster_id, size, percentage, sample)`` from ``(template_idx, template, cluster)``.
 
-    The member list is in index order. It grows with the cluster: ``per_cluster``
-    keeps only that many first members for display; sizes and shares stay whole.
+    The sample is the first member. ``members`` itself is the list of who belongs
+    where; ``with_templates`` also packs it, in index order, into one array per
+    cluster, which suits clusters that fit into one row.
     """
     total = row_count(members)
-    sizes = members.groupBy("cluster").agg(
+    out = members.groupBy(F.col("cluster").alias("cluster_id")).agg(
         F.count(F.lit(1)).alias("size"),
         F.min(F.struct("template_idx", "template"))["template"].alias("sample"),
+        *(
+            [
+                F.transform(
+                    F.array_sort(F.collect_list(F.struct("template_idx", "template"))), lambda s: s["template"]
+                ).alias("templates")
+            ]
+            if with_templates
+            else []
+        ),
     )
-    shown = members
-    if per_cluster:
-        rank = F.row_number().over(Window.partitionBy("cluster").orderBy("template_idx"))
-        shown = members.withColumn("_r", rank).filter(F.col("_r") <= per_cluster)
-    lists = shown.groupBy("cluster").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("template_idx", "template"))), lambda s: s["template"]).alias(
-            "templates"
-        )
-    )
-    return sizes.join(lists, "cluster").select(
-        F.col("cluster").alias("cluster_id"),
-        "size",
-        (F.col("size") / total * 100).alias("percentage"),
-        "templates",
-        "sample",
-    )
+    return out.withColumn("percentage", F.col("size") / total * 100)

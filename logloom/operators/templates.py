@@ -265,19 +265,27 @@ def mine_templates(
     """
     tokens = entries.select("line", tokenize(F.col("message_raw")).alias("tokens"))
     arrays = tokens.groupBy("tokens").agg(F.min("line").alias("first_line"))
-    # Filters come after the store: before it they would repeat the split into words.
-    arrays = cut_lineage(arrays.withColumn("n_tok", F.size("tokens")), "arrays")
-    arrays = arrays.filter((F.col("n_tok") > 0) & ~_never_joins(F.col("tokens"), threshold))
+    # Both marks are stored: as filters before the store they would repeat the split into words.
+    n_tok = F.size("tokens")
+    arrays = cut_lineage(
+        arrays.select(
+            "*",
+            n_tok.alias("n_tok"),
+            ((n_tok > 0) & ~_never_joins(F.col("tokens"), threshold)).alias("joins"),
+            (tolerated(n_tok, threshold) < 1).alias("alone"),
+        ),
+        "arrays",
+    )
+    arrays = arrays.filter("joins")
 
     # Without tolerance every distinct array is a cluster of its own: nothing to mine.
-    alone = tolerated(F.col("n_tok"), threshold) < 1
-    fixed = arrays.filter(alone)
+    fixed = arrays.filter("alone")
     members = [fixed.select(F.col("first_line").alias("id"), F.col("first_line").alias("founder"))]
     versions = [
         fixed.select(F.col("first_line").alias("founder"), F.col("first_line").alias("valid_from"), "tokens")
     ]
 
-    left = arrays.filter(~alone).withColumn("block", F.lit(0).cast("bigint"))
+    left = arrays.filter("not alone").select("n_tok", F.lit(0).cast("bigint").alias("block"), "first_line", "tokens")
     keys = ["n_tok", "block"]
     known = None
     rounds = 0

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions.text import shorten
-from logloom.operators.numbering import dense_number
+from logloom.operators.numbering import cut_lineage, dense_number
 from logloom.schema import from_micros, micros
 
 MINUTE = 60_000_000
@@ -107,7 +107,8 @@ def filled(binned: DataFrame, minutes: int = 5) -> DataFrame:
 
 def time_series(entries: DataFrame, minutes: int = 5) -> DataFrame:
     """Gap-filled ``(timestamp, total, unique_templates, error_count, warning_count)``."""
-    return filled(binned_counts(entries, minutes), minutes).select(
+    # One row per occupied bin, stored: the grid needs it twice.
+    return filled(cut_lineage(binned_counts(entries, minutes), "bins"), minutes).select(
         "timestamp",
         F.col("count").alias("total"),
         F.col("n_unique").alias("unique_templates"),
@@ -211,17 +212,17 @@ def top_events(entries: DataFrame, windows: DataFrame | None = None, k: int = 3,
     """``(bin, top_events)``: the ``k`` most frequent events of each bin, ties by event id.
 
     An event is labelled with the template it had first in that bin. ``windows``
-    (with a ``bin`` column) restricts the work to those bins before anything is
-    counted.
+    (with a ``bin`` column) restricts the result to those bins.
     """
     rows = entries.filter(F.col("timestamp").isNotNull()).select(
         bin_number(F.col("timestamp"), minutes).alias("bin"), "event_id", "template", "line"
     )
-    if windows is not None:
-        rows = rows.join(windows.select("bin"), "bin", "left_semi")
     per_template = rows.groupBy("bin", "event_id", "template").agg(
         F.count(F.lit(1)).alias("n"), F.min("line").alias("line")
     )
+    # Rows are combined before the join, so a bin that holds much of the log is not shuffled raw.
+    if windows is not None:
+        per_template = per_template.join(windows.select("bin"), "bin", "left_semi")
     per_event = per_template.groupBy("bin", "event_id").agg(
         F.sum("n").alias("count"), F.min(F.struct("line", "template"))["template"].alias("template")
     )
@@ -249,10 +250,11 @@ def anomaly_windows(
     """
     if 1440 % minutes:
         raise ValueError("the bin must divide a day")
-    binned = binned_counts(entries, minutes)
+    binned = cut_lineage(binned_counts(entries, minutes), "bins")
     width = width or adaptive_width(bin_span(binned))
     scores = scored_series(filled(binned, minutes), width or 1)
-    found = scores.filter(is_anomalous(threshold) if width else F.lit(False))
+    # At most a few bins of many: stored, they are small enough for any join.
+    found = cut_lineage(scores.filter(is_anomalous(threshold) if width else F.lit(False)), "found")
     kind = anomaly_type(threshold)
     columns = ["timestamp", "count", "count_zscore", "unique_zscore", "global_zscore"]
     if not with_top:
@@ -276,7 +278,7 @@ def volume_bursts(entries: DataFrame, minutes: int = 5, threshold: float = 3.0,
     timed = entries.filter(F.col("timestamp").isNotNull())
     binned = timed.groupBy(bin_number(F.col("timestamp"), minutes).alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     binned = binned.withColumn("timestamp", bin_start(F.col("bin"), minutes))
-    scored = rolling(filled(binned, minutes), ["count"], width)
+    scored = rolling(filled(cut_lineage(binned, "bins"), minutes), ["count"], width)
     z = zscore(F.col("count"), F.col("count_ma"), F.col("count_std"))
     return scored.select(
         "timestamp", "count", F.col("count_ma").alias("ma"), F.col("count_std").alias("std"), z.alias("zscore")

@@ -18,7 +18,7 @@ from logloom.operators.numbering import cut_lineage
 from logloom.sources.detect import read_entries
 
 SEMANTIC_SCHEMA = "template_idx bigint, template string, distance double, severity string"
-CLUSTER_SCHEMA = "cluster_id bigint, size bigint, percentage double, templates array<string>, sample string"
+MEMBER_SCHEMA = "template_idx bigint, template string, cluster bigint"
 
 
 @dataclass
@@ -35,6 +35,7 @@ class Analysis:
     level_dist: DataFrame
     component_dist: DataFrame
     hour_dist: DataFrame
+    cluster_members: DataFrame
     cluster_summaries: DataFrame
     summary: DataFrame
 
@@ -66,29 +67,29 @@ def analyze(
     rows = cut_lineage(W.temporal_features(T.attach_templates(parsed, mined), minutes), "entries")
 
     semantics = spark.createDataFrame([], SEMANTIC_SCHEMA)
-    clusters = spark.createDataFrame([], CLUSTER_SCHEMA)
+    members = spark.createDataFrame([], MEMBER_SCHEMA)
     if cluster or semantic:
         texts = cut_lineage(T.distinct_templates(rows, per).select("template_idx", "template"), "texts")
         if encoder is None:
             weights = cut_lineage(E.tfidf(texts, stop_words), "weights")
             some = not weights.isEmpty()
             distances = E.sparse_distances(weights, texts) if some else None
-            vectors = E.dense_from_sparse(weights, texts) if some else None
+            vectors = cut_lineage(E.dense_from_sparse(weights, texts), "vectors") if some and cluster else None
         else:
             vectors = cut_lineage(E.dense_vectors(encoder(texts), "template_idx", "vector", "template"), "vectors")
             distances = E.dense_distances(vectors)
         if semantic and distances is not None:
             semantics = E.semantic_anomalies(distances, semantic_threshold)
         if cluster and vectors is not None:
-            labels = C.kmeans(vectors)
-            clusters = S.cluster_summary(texts.join(labels, "template_idx"))
+            labels = C.kmeans(vectors).withColumn("cluster", F.col("cluster").cast("bigint"))
+            members = cut_lineage(texts.join(labels, "template_idx"), "members")
 
     # Results are small next to the log; stored, they serve the summary and the reports.
     stats = cut_lineage(S.template_stats(rows), "stats")
     anomalies = cut_lineage(W.anomaly_windows(rows, minutes, threshold), "anomalies")
     repeats = cut_lineage(B.repetition_bursts(rows, min_repeats, burst_seconds), "bursts")
     semantics = cut_lineage(semantics, "semantics")
-    clusters = cut_lineage(clusters, "clusters")
+    clusters = cut_lineage(S.cluster_summary(members), "clusters")
     summary = S.run_summary(S.pattern_summary(rows, stats), anomalies, repeats, semantics)
     return Analysis(
         source=source,
@@ -101,6 +102,7 @@ def analyze(
         level_dist=S.level_distribution(rows),
         component_dist=S.component_distribution(rows),
         hour_dist=S.hour_distribution(rows),
+        cluster_members=members,
         cluster_summaries=clusters,
         summary=cut_lineage(summary, "summary"),
     )

@@ -308,6 +308,12 @@ def test_whole_run_and_reports(spark, tmp_path):
     assert bare.summary.first()["total_lines"] == 0
 
 
+def test_cluster_lists_are_in_index_order(spark):
+    df = spark.createDataFrame([(3, "c", 0), (1, "a", 0), (2, "b", 1)], "template_idx int, template string, cluster int")
+    rows = S.cluster_summary(df, with_templates=True).orderBy("cluster_id").collect()
+    assert [(r["size"], r["sample"], r["templates"]) for r in rows] == [(2, "a", ["a", "c"]), (1, "b", ["b"])]
+
+
 def test_short_type(spark):
     row = spark.range(1).select(short_type(F.lit("volume_burst+diversity_drop+global_burst")).alias("t")).first()
     assert row["t"] == "volume/diversity↓/gl"

@@ -470,8 +470,6 @@ def top_events_per_window(spark, sf):
  GROUP BY 1) d ON t.day = d.day"""))
 def orders_per_day(spark, sf):
     orders = I.table(spark, sf, "orders")
-    rows = from_table(orders, "o_orderpriority", timestamp="o_orderdate", level=F.lit("Info"), line="o_orderkey")
-    rows = rows.withColumn("event_id", F.ascii("message_raw"))
     rows = from_table(orders, "o_orderstatus", timestamp="o_orderdate", level=F.lit("Info"), line="o_orderkey")
     return W.time_series(rows.withColumn("event_id", F.ascii("message_raw")), 1440)
 
@@ -625,8 +623,7 @@ def hierarchical_clusters(spark, sf):
 
 
 @query(sql("""SELECT label AS cluster_id, count(*) AS size, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 6) AS percentage,
- string_agg('vector ' || vec_id, ', ' ORDER BY vec_id) AS templates, arg_min('vector ' || vec_id, vec_id) AS sample FROM embeddings GROUP BY label"""))
+ arg_min('vector ' || vec_id, vec_id) AS sample FROM embeddings GROUP BY label"""))
 def cluster_summary(spark, sf):
     members = I.vectors(spark, sf).select("template_idx", "template", F.col("label").alias("cluster"))
-    out = S.cluster_summary(members).withColumn("templates", F.array_join("templates", ", "))
-    return rounded(out, "percentage")
+    return rounded(S.cluster_summary(members), "percentage")
