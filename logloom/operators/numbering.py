@@ -38,13 +38,14 @@ def shared_folder(spark: SparkSession) -> str:
 
     Only a local session without that setting gets a folder of its own.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        folder = tempfile.mkdtemp(prefix="logloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="logloom-"))
+        folder = context.getCheckpointDir()
+    return folder.rstrip("/")
 
 
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:

@@ -246,6 +246,79 @@ def markdown_report(result: Analysis, variant: str = "current") -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def text_report(result: Analysis) -> DataFrame:
+    """``(section, ord, line)``: the report as running lists, with times in the event table."""
+    spark = result.entries.sparkSession
+    plain = lambda c: F.col(c).cast("string")
+    bold = lambda c: F.concat(F.lit("**"), c.cast("string"), F.lit("**"))
+    percent = lambda c: F.concat(fixed(F.col(c), 1), F.lit("%"))
+    titles = [
+        "## Level Distribution",
+        "## Top 10 Most Frequent Events",
+        "## Semantic Clusters",
+        "## Temporal Anomalies (Bursts)",
+        "## Repetition Bursts",
+        "## Semantic Anomalies",
+    ]
+    fixed_lines = [(0, 0, f"# Log Analysis Report — {result.source}"), (0, 1, ""), (0, 3, "")]
+    for i, title in enumerate(titles, 1):
+        fixed_lines += [(i, 0, title), (i, 1, ""), (i, 90_000, "")]
+    fixed_lines += [
+        (2, 2, "| # | Event | Count | % Total | First Seen | Last Seen |"),
+        (2, 3, "|---|---|---|---|---|---|"),
+    ]
+    header = F.concat_ws(
+        " | ",
+        F.concat(F.lit("**Total lines:** "), plain("total_lines")),
+        F.concat(F.lit("**Unique events:** "), plain("unique_events")),
+        F.concat(F.lit("**Errors:** "), plain("error_count"), F.lit(" ("), percent("error_pct"), F.lit(")")),
+        F.concat(F.lit("**Warnings:** "), plain("warning_count")),
+    )
+    parts = [_lines(result.summary, 0, F.lit(2), header, 0)]
+
+    levels = _ranked(result.level_dist, F.desc("count"), "level")
+    line = F.concat(F.lit("- "), bold(F.col("level")), F.lit(": "), plain("count"), F.lit(" ("), percent("percentage"), F.lit(")"))
+    parts.append(_lines(levels, 1, F.col("rank"), line))
+    top = top_events_table(result.template_stats, cut=80, with_times=True)
+    share = F.concat(F.col("percent"), F.lit("%"))
+    parts.append(_lines(top, 2, F.col("rank"), _row("rank", "template", "count", share, "first_seen", "last_seen")))
+    clusters = _ranked(result.cluster_summaries.orderBy(F.desc("size"), "cluster_id").limit(5), F.desc("size"), "cluster_id")
+    line = F.concat(
+        F.lit("- "), bold(F.concat(F.lit("Cluster "), plain("cluster_id"))), F.lit(" ("), plain("size"),
+        F.lit(" templates, "), percent("percentage"), F.lit("): "), shorten(F.col("sample"), 80),
+    )
+    parts.append(_lines(clusters, 3, F.col("rank"), line))
+
+    def lead(section: int, count: str, what: str, nothing: str) -> None:
+        some = F.concat(F.lit("Detected "), bold(F.col(count)), F.lit(f" {what}:"))
+        parts.append(_found(F.col(count), section, some, ("",), nothing, result.summary))
+
+    lead(4, "n_anomaly_windows", "anomalous windows", "No significant temporal anomalies detected.")
+    first = _ranked(result.anomaly_windows.orderBy("timestamp").limit(10), "timestamp")
+    line = F.concat(
+        F.lit("- "), bold(_second(F.col("timestamp"))), F.lit(": count="), plain("count"),
+        F.lit(", z-score="), fixed(F.col("count_zscore"), 1), F.lit(", type="), F.col("anomaly_type"),
+    )
+    parts.append(_lines(first, 4, F.col("rank"), line))
+    lead(5, "n_bursts", "repetition bursts", "No repetition bursts detected.")
+    first = _ranked(result.bursts.orderBy("timestamp", "event_id").limit(10), "timestamp", "event_id")
+    line = F.concat(
+        F.lit("- "), bold(_second(F.col("timestamp"))), F.lit(": `"), plain("event_id"), F.lit("` repeated "),
+        plain("count_in_window"), F.lit("x in "), plain("window_seconds"), F.lit("s"),
+    )
+    parts.append(_lines(first, 5, F.col("rank"), line))
+    lead(6, "n_semantic_anomalies", "semantically anomalous templates", "No semantic anomalies detected.")
+    order = (F.desc("distance"), "template_idx")
+    first = _ranked(result.semantic_anomalies.orderBy(*order).limit(10), *order)
+    line = F.concat(
+        F.lit("- "), bold(shorten(F.col("template"), 100)), F.lit(" (distance="), fixed(F.col("distance"), 3),
+        F.lit(", severity="), F.col("severity"), F.lit(")"),
+    )
+    parts.append(_lines(first, 6, F.col("rank"), line))
+    parts.append(spark.createDataFrame(fixed_lines, "section int, ord int, line string").coalesce(1))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def write_markdown(report: DataFrame, path: str) -> None:
     """The report as one text file; every section is limited, so one task suffices."""
     report.orderBy("section", "ord").select("line").coalesce(1).write.mode("overwrite").text(path)

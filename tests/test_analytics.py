@@ -15,7 +15,7 @@ from logloom.operators import stats as S
 from logloom.operators import timeseries as W
 from logloom.operators.numbering import dense_number
 from logloom.plans.analyze import analyze, write_entries
-from logloom.plans.reports import kpis, markdown_report, short_type, write_markdown
+from logloom.plans.reports import kpis, markdown_report, short_type, text_report, write_markdown
 
 SCHEMA = (
     "timestamp timestamp_ntz, level string, component string, message_raw string, pid string, source string, line bigint,"
@@ -300,6 +300,9 @@ def test_whole_run_and_reports(spark, tmp_path):
         assert part in text
     old = [r["line"] for r in markdown_report(run, "legacy").orderBy("section", "ord").collect()]
     assert "| Timestamp | Event ID | Repeats |" in old and "## Temporal Anomalies" in old
+    running = [r["line"] for r in text_report(run).orderBy("section", "ord").collect()]
+    assert running[2] == "**Total lines:** 600 | **Unique events:** 2 | **Errors:** 67 (11.2%) | **Warnings:** 0"
+    assert "- **Info**: 533 (88.8%)" in running and "## Temporal Anomalies (Bursts)" in running
     write_entries(run.entries, str(tmp_path / "entries"))
     assert spark.read.parquet(str(tmp_path / "entries")).filter("day = date'2024-01-01'").count() == 600
     given = analyze(df, encoder=lambda t: t.withColumn("vector", F.array(F.lit(1.0), F.length("template").cast("double"))))

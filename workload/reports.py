@@ -143,3 +143,8 @@ def report_markdown(spark, sf):
 @query()
 def report_markdown_legacy(spark, sf):
     return R.markdown_report(A.analyze(I.entries(spark, sf), "events", threshold=3.0), "legacy")
+
+
+@query()
+def report_text(spark, sf):
+    return R.text_report(A.analyze(I.entries(spark, sf), "events"))
