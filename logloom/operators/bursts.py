@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logloom.operators.numbering import cut_lineage
 from logloom.schema import from_micros, micros
 
 _ENTERS, _LOOKS, _LEAVES = 0, 1, 2
@@ -31,7 +32,10 @@ def repetition_bursts(
     length = F.lit(seconds * 1_000_000)
     timed = entries.filter(F.col("timestamp").isNotNull()).select(micros(F.col("timestamp")).alias("t"), "event_id")
     bucket = lambda t: ((t - F.pmod(t, length)) / length).cast("bigint")
-    rows = timed.groupBy("event_id", "t").agg(F.count(F.lit(1)).alias("n")).withColumn("bucket", bucket(F.col("t")))
+    # Stored, so that the log is read once and no later join is moved below this combine,
+    # where it would meet the raw rows of a busy event.
+    rows = cut_lineage(timed.groupBy("event_id", "t").agg(F.count(F.lit(1)).alias("n")), "moments")
+    rows = rows.withColumn("bucket", bucket(F.col("t")))
     sums = rows.groupBy("event_id", "bucket").agg(F.sum("n").alias("own"))
 
     # Rows of a bucket count in it and, until they leave, in the next one.

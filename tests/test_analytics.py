@@ -330,8 +330,20 @@ def test_plans_stay_on_the_jvm_and_read_few_columns(spark, tmp_path):
     path = str(tmp_path / "e")
     entries(spark, some_log(6)).write.parquet(path)
     df = spark.read.parquet(path)
-    for out in (S.template_stats(df), W.time_series(df), B.repetition_bursts(df), W.top_events(df)):
+    for out in (S.template_stats(df), W.binned_counts(df), W.temporal_features(df), W.top_events(df), B.repetition_bursts(df)):
         text = plan(out)
         assert "Python" not in text and "CartesianProduct" not in text and "NestedLoop" not in text
-    text = plan(B.repetition_bursts(df, with_template=False))
-    assert "ReadSchema: struct<timestamp:timestamp_ntz,event_id:bigint>" in text and "IsNotNull(timestamp)" in text
+    text = plan(W.top_events(df))
+    assert "ReadSchema: struct<timestamp:timestamp_ntz,line:bigint,event_id:bigint,template:string>" in text
+    assert "IsNotNull(timestamp)" in text
+
+
+def test_one_event_with_a_third_of_the_rows(spark):
+    """A hot event, second and message give the same results as their definition."""
+    rows = sorted([(1000, 1, "Error")] * 500 + [(i * 3, 2 + i % 4, "Info") for i in range(1000)])
+    df = entries(spark, rows)
+    got = {(int((r["timestamp"] - T0).total_seconds()), r["event_id"]): r["count_in_window"] for r in B.repetition_bursts(df, 400).collect()}
+    assert got == {(t, 1): 500 for t in {s for s, _, _ in rows} if 1000 <= t <= 1010}
+    assert {r["event_id"]: r["count"] for r in S.template_stats(df).collect()}[1] == 500
+    top = W.top_events(df).filter(F.col("bin") == W.bin_number(F.lit(T0 + timedelta(seconds=1000)).cast("timestamp_ntz"), 5)).first()
+    assert top["top_events"][0]["count"] == 500
