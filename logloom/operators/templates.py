@@ -43,7 +43,8 @@ def masked_template_ids(entries: DataFrame) -> DataFrame:
     # Null for the empty template: a filter on the template itself would repeat the masking.
     first = F.min(F.when(F.col("template") != "", F.col("line")))
     firsts = masked.groupBy("template").agg(first.alias("_first")).filter(F.col("_first").isNotNull())
-    ids = dense_number(firsts, "_first", "event_id").select("template", "event_id")
+    # Stored, its size is known: few templates are broadcast, many are joined by shuffle.
+    ids = cut_lineage(dense_number(firsts, "_first", "event_id").select("template", "event_id"), "template_ids")
     joined = masked.join(ids, "template", "left").withColumn("event_id", F.coalesce("event_id", F.lit(0)))
     return joined.select(*entries.columns, "event_id", "template")
 
@@ -379,6 +380,8 @@ def attach_templates(entries: DataFrame, mined: MinedTemplates) -> DataFrame:
     states = mined.versions.groupBy("event_id").agg(
         F.array_sort(F.collect_list(F.struct("valid_from", "template"))).alias("_states")
     )
+    # Stored, its size is known: rows are not shuffled by event if the states are few.
+    states = cut_lineage(states, "states")
     kept = [c for c in entries.columns if c not in ("event_id", "template")]
     base = entries.select(*kept, tokenize(F.col("message_raw")).alias("_tokens"))
     assigned = mined.assignments.select(F.col("tokens").alias("_tokens"), "event_id")

@@ -34,7 +34,8 @@ def temporal_features(entries: DataFrame, minutes: int = 5) -> DataFrame:
     """
     binned = entries.withColumn("_bin", bin_number(F.col("timestamp"), minutes))
     occupied = binned.filter(F.col("_bin").isNotNull()).select("_bin").distinct()
-    ids = dense_number(occupied, "_bin", "window_id")
+    # Stored, its size is known: the bins of years are broadcast, so a busy bin is not shuffled.
+    ids = cut_lineage(dense_number(occupied, "_bin", "window_id"), "windows")
     return binned.join(ids, "_bin", "left").select(
         *entries.columns,
         F.coalesce(F.hour("timestamp"), F.lit(0)).alias("hour"),
