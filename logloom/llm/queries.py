@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from logloom.llm.arrow_files import read_documents, write_sequence_files
 from logloom.llm.byte_bpe import decode_documents, encode_documents
 from logloom.llm.common import table
+from logloom.llm.language_id import fit, identify
 from logloom.llm.packing import pack_documents
 from logloom.llm.secret_scan import listed, scan_secrets
+from logloom.llm.simhash import near_duplicates
+from logloom.llm.suffix_dedup import remove_repeats
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -47,10 +50,35 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def held_out() -> F.Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = fit(docs, ~held_out())
+    return identify(docs, net).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op4_arrow_files": op4_arrow_files,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_secret_scan": op6_secret_scan,
+    "op7_simhash": op7_simhash,
+    "op9_language_id": op9_language_id,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLE: dict[str, str] = {}
