@@ -18,11 +18,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Only ``_id`` and ``_text`` (UTF-8 bytes, null text: empty), so that no other column can clash."""
+def id_and_text(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+    """Only ``_id`` and ``_text`` (UTF-8 bytes, null text: empty) and ``more``, so that no other column can clash."""
     return docs.select(
         docs[id_col].cast("bigint").alias("_id"),
         F.coalesce(docs[text_col].cast("binary"), F.lit(b"")).alias("_text"),
+        *more,
     )
 
 
@@ -80,7 +81,6 @@ def task_number() -> tuple[int, int]:
     return (context.partitionId(), context.taskAttemptId()) if context else (0, 0)
 
 
-
 def rows_of(values: dict[str, np.ndarray | list | pa.Array], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [v if isinstance(v, pa.Array) else pa.array(v, f.type) for f, v in zip(schema, values.values(), strict=True)],

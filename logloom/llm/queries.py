@@ -8,10 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logloom.llm.ann_forest import nearest_by_product
 from logloom.llm.arrow_files import read_documents, write_sequence_files
 from logloom.llm.byte_bpe import decode_documents, encode_documents
 from logloom.llm.common import table
+from logloom.llm.embedding_dedup import near_duplicate_vectors
 from logloom.llm.language_id import fit, identify
+from logloom.llm.lm_score import score_documents
 from logloom.llm.packing import pack_documents
 from logloom.llm.secret_scan import listed, scan_secrets
 from logloom.llm.simhash import near_duplicates
@@ -21,11 +24,19 @@ WORD_BPE = "word_bpe_49k.json"
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_by_product(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
 def op4_arrow_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = write_sequence_files(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
     return read_documents(spark, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -55,6 +66,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0").select("doc_id")
+    return score_documents(table(spark, sf_dir, "documents"), good)
+
+
 def held_out() -> F.Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
 
@@ -73,11 +89,14 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_packing": op2_packing,
+    "op3_ann_forest": op3_ann_forest,
     "op4_arrow_files": op4_arrow_files,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_secret_scan": op6_secret_scan,
     "op7_simhash": op7_simhash,
+    "op8_lm_score": op8_lm_score,
     "op9_language_id": op9_language_id,
     "op10_suffix_dedup": op10_suffix_dedup,
 }

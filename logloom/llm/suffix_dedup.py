@@ -217,16 +217,29 @@ def _unpack(data: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
-BLOCKS = "block bigint, ids binary, sizes binary, data binary"
+BLOCKS = "block bigint, ids binary, sizes binary, data binary, carried binary"
 LETTER = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("letter", pa.binary())])
 LETTERS = "block bigint, bucket int, letter binary"
 
 
+def _to_bytes(batches: list[pa.RecordBatch]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batches[0].schema) as out:
+        for batch in batches:
+            out.write_batch(batch)
+    return _compress(sink.getvalue().to_pybytes())
+
+
+def _from_bytes(data: bytes) -> pa.Table:
+    with pa.ipc.open_stream(_decompress(data)) as source:
+        return source.read_all()
+
+
 def _to_blocks(rows: DataFrame, block_bytes: int) -> DataFrame:
     """Documents in blocks: consecutive rows of a partition, their texts compressed together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, ids, sizes, data = task_number()[0] << 33, 0, [], [], []
+        number, held, ids, sizes, data, carried = task_number()[0] << 33, 0, [], [], [], []
 
         def block() -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict(
@@ -235,6 +248,7 @@ def _to_blocks(rows: DataFrame, block_bytes: int) -> DataFrame:
                     "ids": pa.array([np.concatenate(ids).tobytes()], pa.binary()),
                     "sizes": pa.array([np.concatenate(sizes).tobytes()], pa.binary()),
                     "data": pa.array([_compress(b"".join(data))], pa.binary()),
+                    "carried": pa.array([_to_bytes(carried)], pa.binary()),
                 }
             )
 
@@ -243,10 +257,11 @@ def _to_blocks(rows: DataFrame, block_bytes: int) -> DataFrame:
             ids.append(np.asarray(batch.column("_id").fill_null(NO_ID)).astype(np.int64))
             sizes.append(np.diff(offsets))
             data.append(flat.tobytes())
+            carried.append(batch.select(["_carried"]))
             held += len(flat)
             if held >= block_bytes:
                 yield block()
-                number, held, ids, sizes, data = number + 1, 0, [], [], []
+                number, held, ids, sizes, data, carried = number + 1, 0, [], [], [], []
         if ids:
             yield block()
 
@@ -476,7 +491,7 @@ def _covered(row: dict, length: int, gram: int, buckets: int) -> tuple[Block, np
     return block, np.cumsum(cover[:-1]) > 0
 
 
-RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
+RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept binary, carried {}"
 
 
 def _results(row: dict, length: int, gram: int, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -497,6 +512,7 @@ def _results(row: dict, length: int, gram: int, buckets: int) -> Iterator[pa.Rec
     kept_ends = np.cumsum(np.diff(offsets) - removed)
     spans = pa.StructArray.from_arrays([pa.array(starts - offsets[of_doc]), pa.array(ends - offsets[of_doc])], ["start", "end"])
     span_ends = np.cumsum(per_doc)
+    carried = _from_bytes(row["carried"]).column("_carried").combine_chunks()
     step = max(1, (4 << 20) * len(block.ids) // max(len(block.flat), 1))
     for a in range(0, len(block.ids), step):
         b = min(a + step, len(block.ids))
@@ -512,8 +528,9 @@ def _results(row: dict, length: int, gram: int, buckets: int) -> Iterator[pa.Rec
                     pa.array(np.concatenate([[0], span_ends[a:b] - first_span]).astype(np.int32)), spans.slice(first_span, int(span_ends[b - 1]) - first_span)
                 ),
                 pa.array(kept, pa.binary()),
+                carried.slice(a, b - a),
             ],
-            names=["doc_id", "n_bytes", "n_removed", "spans", "kept"],
+            names=["doc_id", "n_bytes", "n_removed", "spans", "kept", "carried"],
         )
 
 
@@ -561,14 +578,15 @@ def remove_repeats(
     bucket_bytes: int = BUCKET_BYTES,
     sort_bytes: int = SORT_BYTES,
     hot: int = HOT,
+    carry: list[str] | None = None,
 ) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, spans, kept``: each text without what earlier documents have as well.
+    """``doc_id, n_bytes, n_removed, spans, kept, carried``: each text without what earlier documents have as well.
 
     A byte goes if a string of ``length`` bytes that covers it also starts in a document
     with a smaller id; strings are judged on the input. ``spans`` are the maximal removed
     runs (byte positions), ``kept`` the remaining bytes. Null text counts as empty; rows
     with one id do not remove each other; a null id is larger than any other. A row per
-    input row.
+    input row; ``carried`` has the columns named in ``carry`` and whether the text was null.
 
     Every window of ``length`` bytes belongs to the smallest hash of its grams, so equal windows
     meet in one bucket and most hashes can be told to occur in one document only. Just the
@@ -580,7 +598,9 @@ def remove_repeats(
     spark = docs.sparkSession
     name = f"blocks_{uuid.uuid4().hex}"
     folder = f"{shared_folder(spark)}/logloom/{name}"
-    written = _to_blocks(id_and_text(docs, id_col, text_col), block_bytes)
+    along = F.struct(docs[text_col].isNull().alias("no_text"), *[docs[c].alias(f"c_{c}") for c in carry or []])
+    rows = id_and_text(docs.withColumn("_carried", along), id_col, text_col, "_carried")
+    written = _to_blocks(rows, block_bytes)
     # As many files per task as it has blocks; the joins below shuffle only what answers them.
     bucketed = written.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").option("path", folder)
     bucketed.saveAsTable(name)
@@ -600,7 +620,7 @@ def remove_repeats(
             for k in range(batch.num_rows):
                 yield from _results(batch.slice(k, 1).to_pylist()[0], length, gram, buckets)
 
-    return ready.mapInArrow(finish, RESULT)
+    return ready.mapInArrow(finish, RESULT.format(rows.schema["_carried"].dataType.simpleString()))
 
 
 def _stored(df: DataFrame, path: str) -> DataFrame:
