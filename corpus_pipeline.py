@@ -28,17 +28,16 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Documents without letters, or of no language the network can tell, go."""
     ship(spark)
     net = fit(docs, ~held_out())
-    told = docs.withColumn("_told", language_column(net, docs["text"]))
-    kept = told.filter((F.col("_told.lang") != UNDECIDED) & (F.col("_told.score") >= LEAST_SCORE))
-    return kept.select(*docs.columns)
+    told = docs.select(F.struct("*").alias("row"), language_column(net, docs["text"]).alias("told"))
+    return told.filter((F.col("told.lang") != UNDECIDED) & (F.col("told.score") >= LEAST_SCORE)).select("row.*")
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of the documents whose fingerprints are connected, the one with the smallest id stays; a null id stays."""
     ship(spark)
     classes = near_duplicates(docs)
-    dropped = classes.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_dropped"))
-    return docs.join(dropped, docs["doc_id"] == F.col("_dropped"), "left_anti").select(*docs.columns)
+    dropped = classes.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("dropped")).distinct()
+    return docs.join(dropped, docs["doc_id"] == dropped["dropped"], "left_anti")
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,15 +48,15 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     # A cut can fall inside a character; what is left of it goes too.
     mended = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", "")
     text = F.when(F.col("carried.no_text"), None).when(F.col("n_removed") > 0, mended).otherwise(F.col("kept").cast("string"))
-    out = cut.select(text.alias("text"), F.col("n_removed").alias("_gone"), *[F.col("carried")[f"c_{c}"].alias(c) for c in others])
-    kept = out.filter((F.col("_gone") == 0) | (F.length("text") > 0))
-    return _with_size(kept).select(*docs.columns)
+    left = cut.withColumn("text", text).filter((F.col("n_removed") == 0) | (F.length("text") > 0))
+    columns = [F.col("text") if c == "text" else F.col("carried").getField(f"c_{c}").alias(c) for c in docs.columns]
+    return _with_size(left.select(*columns))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret is replaced by a mark."""
     ship(spark)
-    return _with_size(redact(docs)).select(*docs.columns)
+    return _with_size(redact(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

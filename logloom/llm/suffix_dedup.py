@@ -598,7 +598,7 @@ def remove_repeats(
     spark = docs.sparkSession
     name = f"blocks_{uuid.uuid4().hex}"
     folder = f"{shared_folder(spark)}/logloom/{name}"
-    along = F.struct(docs[text_col].isNull().alias("no_text"), *[docs[c].alias(f"c_{c}") for c in carry or []])
+    along = F.struct(docs[text_col].isNull().alias("no_text"), *[F.col(f"`{c}`").alias(f"c_{c}") for c in carry or []])
     rows = id_and_text(docs.withColumn("_carried", along), id_col, text_col, "_carried")
     written = _to_blocks(rows, block_bytes)
     # As many files per task as it has blocks; the joins below shuffle only what answers them.
