@@ -10,6 +10,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logloom.llm.common import id_and_text, joined_bytes, ragged, steps, task_number
 from logloom.operators.numbering import shared_folder
@@ -286,8 +287,8 @@ def _bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
 def _by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
     """Slices of sorted-by-(bucket, key) positions."""
     where = _bucket_of(keys, buckets).astype(np.int64)
-    edges = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])) if len(where) else []
-    for a, b in zip(edges, [*edges[1:], len(where)], strict=True):
+    edges = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])) if len(where) else np.zeros(0, np.int64)
+    for a, b in zip(edges, np.append(edges[1:], len(where)), strict=False):
         yield int(where[a]), slice(int(a), int(b))
 
 
@@ -491,7 +492,7 @@ def _covered(row: dict, length: int, gram: int, buckets: int) -> tuple[Block, np
     return block, np.cumsum(cover[:-1]) > 0
 
 
-RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept binary, carried {}"
+RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
 
 
 def _results(row: dict, length: int, gram: int, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -620,7 +621,8 @@ def remove_repeats(
             for k in range(batch.num_rows):
                 yield from _results(batch.slice(k, 1).to_pylist()[0], length, gram, buckets)
 
-    return ready.mapInArrow(finish, RESULT.format(rows.schema["_carried"].dataType.simpleString()))
+    result = T.StructType.fromDDL(RESULT).add("carried", rows.schema["_carried"].dataType)
+    return ready.mapInArrow(finish, result)
 
 
 def _stored(df: DataFrame, path: str) -> DataFrame:

@@ -336,7 +336,7 @@ def test_scores_without_target_and_without_rows(spark):
 
 
 def test_losses_are_of_probabilities():
-    keys = np.array([(256 * SYMBOLS + 256) * SYMBOLS + 97, (97 * SYMBOLS + 98) * SYMBOLS + 99])
+    keys = np.array([(97 * SYMBOLS + 98) * SYMBOLS + 99, (256 * SYMBOLS + 256) * SYMBOLS + 97])
     own, _ = loss_tables(Model(keys, np.array([3, 2])), Model(keys, np.array([3, 2])))
     table = own.reshape(SYMBOLS, SYMBOLS, SYMBOLS)[[0, 97, 256], :, :256]
     assert np.abs((2.0**-table).sum(axis=2) - 1).max() < 1e-4
