@@ -155,7 +155,7 @@ def nearest_by_product(
                     if len(q):
                         yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s)], names=["query_id", "vec_id", "score"])
 
-    dealt = data.union(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "_id")
+    dealt = data.union(asked).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "kind", "_id")
     found = dealt.mapInArrow(search, schema).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

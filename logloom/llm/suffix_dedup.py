@@ -560,7 +560,7 @@ def _map_buckets(letters: DataFrame, buckets: int, work) -> DataFrame:
         if held:
             yield _letters(work(held))
 
-    return letters.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, LETTERS)
+    return letters.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "block").mapInArrow(run, LETTERS)
 
 
 def _delivered(letters: DataFrame, name: str) -> DataFrame:

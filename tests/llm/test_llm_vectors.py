@@ -43,7 +43,7 @@ def test_links_of_groups_copies_and_odd_vectors(spark, monkeypatch, window, tile
     for center in rng.normal(size=(12, 16)):
         for _ in range(int(rng.integers(1, 30))):
             rows.append((len(rows), (center + rng.normal(size=16) * 0.05).tolist()))
-    rows += [(500 + k, rows[3][1]) for k in range(5)] + [(510, (np.array(rows[3][1]) * 1e200).tolist()), (511, (np.array(rows[3][1]) * 1e-200).tolist())]
+    rows += [(500 + k, rows[3][1]) for k in range(5)] + [(510, (np.array(rows[3][1]) * 1e100).tolist()), (511, (np.array(rows[3][1]) * 1e-100).tolist())]
     rows += [(600, None), (601, [0.0] * 16), (602, [float("nan")] * 16), (603, [None] + [1.0] * 15), (604, [float("inf")] * 16), (605, [])]
     got = near_duplicate_vectors(frame(spark, rows), window=window, recall=0.9999).collect()
     assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in got} == brute_links(rows, 0.9)
