@@ -8,29 +8,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Key values per chunk: one sort task numbers at most this many distinct keys.
-CHUNK = 1_000_000
-
-
-def dense_number(df: DataFrame, key: str, name: str, chunk: int = CHUNK) -> DataFrame:
+def dense_number(df: DataFrame, key: str, name: str) -> DataFrame:
     """Add ``name`` = 1, 2, … in the order of the unique whole-number column ``key``.
 
-    Rows are numbered inside chunks of the key range, so a chunk holds at most
-    ``chunk`` rows whatever the data looks like; a running sum over the chunk counts
-    (one row per chunk) gives the offsets. Chunks follow from the key alone, so a
-    lost task recomputes to the same numbers.
+    Rows are sorted by ranges of the key that Spark samples, so a range holds about the same
+    number of rows however the keys are spread, and stored with their position. The offsets are a
+    running sum with one row per range.
     """
-    cut = df.withColumn("_chunk", F.floor(F.col(key) / F.lit(chunk)))
-    counts = cut.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = F.row_number().over(Window.partitionBy("_chunk").orderBy(key))
-    return (
-        cut.withColumn("_inside", inside)
-        .join(offsets, "_chunk")
-        .withColumn(name, (F.col("_inside") + F.col("_offset")).cast("bigint"))
-        .drop("_chunk", "_inside", "_offset")
-    )
+    ranged = df.repartitionByRange(key).sortWithinPartitions(key)
+    stored = cut_lineage(ranged.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")), "ranges")
+    counts = stored.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_offset"))
+    return stored.join(offsets, "_part").withColumn(name, (F.col("_at") + F.col("_offset")).cast("bigint")).drop("_part", "_at", "_offset")
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,6 +33,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+        # One machine, one folder: only for a session without a cluster and without the setting.
         context.setCheckpointDir(tempfile.mkdtemp(prefix="logloom-"))
         folder = context.getCheckpointDir()
     return folder.rstrip("/")

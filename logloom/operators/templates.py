@@ -39,7 +39,8 @@ _MINED = "n_tok int, block bigint, kind string, id bigint, founder bigint, token
 
 def masked_template_ids(entries: DataFrame) -> DataFrame:
     """Add ``template`` (masked) and ``event_id``, numbered by first appearance; 0 if empty."""
-    masked = entries.withColumn("template", masked_template(F.col("message_raw")))
+    # Stored: both the numbering and the join read it, and masking is the dear part.
+    masked = cut_lineage(entries.withColumn("template", masked_template(F.col("message_raw"))), "masked")
     # Null for the empty template: a filter on the template itself would repeat the masking.
     first = F.min(F.when(F.col("template") != "", F.col("line")))
     firsts = masked.groupBy("template").agg(first.alias("_first")).filter(F.col("_first").isNotNull())
@@ -259,11 +260,14 @@ def mine_templates(
 ) -> MinedTemplates:
     """Similarity templates of the messages, exactly as first fit in line order gives them.
 
-    ``line`` must be unique over ``entries``. ``batch`` bounds what one task mines in
+    ``line`` must be unique over ``entries``; repeated lines are an error. ``batch`` bounds what one task mines in
     sequence per round, ``cover_rows`` what one task tests. Messages of one length
     are one block at first; what outlasts ``split_after`` rounds is cut into
     components. None of the three changes results.
     """
+    repeated = entries.groupBy("line").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if not repeated.isEmpty():
+        raise ValueError("lines repeat: number the lines of all files together before mining")
     tokens = entries.select("line", tokenize(F.col("message_raw")).alias("tokens"))
     arrays = tokens.groupBy("tokens").agg(F.min("line").alias("first_line"))
     # Both marks are stored: as filters before the store they would repeat the split into words.

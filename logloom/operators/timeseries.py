@@ -15,15 +15,15 @@ HALO_CHUNK = 4096  # bins per rolling chunk
 EPSILON = 1e-8
 
 
-def bin_number(ts: Column, minutes: int) -> Column:
-    """Number of the fixed bin a timestamp lies in, from the epoch."""
+def bin_number(ts: Column, minutes: int, shift: Column | int = 0) -> Column:
+    """Number of the fixed bin a timestamp lies in, from the epoch plus ``shift`` microseconds."""
     width = F.lit(minutes * MINUTE)
-    us = micros(ts)
+    us = micros(ts) - shift
     return ((us - F.pmod(us, width)) / width).cast("bigint")
 
 
-def bin_start(number: Column, minutes: int) -> Column:
-    return from_micros(number * F.lit(minutes * MINUTE))
+def bin_start(number: Column, minutes: int, shift: Column | int = 0) -> Column:
+    return from_micros(number * F.lit(minutes * MINUTE) + shift)
 
 
 def temporal_features(entries: DataFrame, minutes: int = 5) -> DataFrame:
@@ -44,11 +44,11 @@ def temporal_features(entries: DataFrame, minutes: int = 5) -> DataFrame:
     )
 
 
-def _origin_shift(binned_ts: DataFrame, minutes: int) -> Column | None:
+def _origin_shift(binned_ts: DataFrame, minutes: int) -> Column | int:
     # Bins start at midnight of the first day. That is the epoch grid as long as the
     # bin divides a day; else the grid is shifted by the first day's remainder.
     if 1440 % minutes == 0:
-        return None
+        return 0
     first = binned_ts.agg(F.min("timestamp").alias("t")).scalar()
     us = micros(F.date_trunc("DAY", first).cast("timestamp_ntz"))
     return F.pmod(us, F.lit(minutes * MINUTE))
@@ -62,11 +62,8 @@ def binned_counts(entries: DataFrame, minutes: int = 5) -> DataFrame:
     """
     timed = entries.filter(F.col("timestamp").isNotNull())
     shift = _origin_shift(timed, minutes)
-    width = F.lit(minutes * MINUTE)
-    us = micros(F.col("timestamp")) - (F.lit(0) if shift is None else shift)
-    number = ((us - F.pmod(us, width)) / width).cast("bigint")
     per_event = (
-        timed.select(number.alias("bin"), "event_id", "message_raw", "level")
+        timed.select(bin_number(F.col("timestamp"), minutes, shift).alias("bin"), "event_id", "message_raw", "level")
         .groupBy("bin", "event_id")
         .agg(
             F.count("message_raw").alias("n"),
@@ -80,9 +77,8 @@ def binned_counts(entries: DataFrame, minutes: int = 5) -> DataFrame:
         F.sum("errors").alias("error_count"),
         F.sum("warnings").alias("warning_count"),
     )
-    start = F.col("bin") * width + (F.lit(0) if shift is None else shift)
     return binned.select(
-        "bin", from_micros(start).alias("timestamp"), "count", "n_unique", "error_count", "warning_count"
+        "bin", bin_start(F.col("bin"), minutes, shift).alias("timestamp"), "count", "n_unique", "error_count", "warning_count"
     )
 
 
@@ -215,9 +211,9 @@ def top_events(entries: DataFrame, windows: DataFrame | None = None, k: int = 3,
     An event is labelled with the template it had first in that bin. ``windows``
     (with a ``bin`` column) restricts the result to those bins.
     """
-    rows = entries.filter(F.col("timestamp").isNotNull()).select(
-        bin_number(F.col("timestamp"), minutes).alias("bin"), "event_id", "template", "line"
-    )
+    timed = entries.filter(F.col("timestamp").isNotNull())
+    number = bin_number(F.col("timestamp"), minutes, _origin_shift(timed, minutes))
+    rows = timed.select(number.alias("bin"), "event_id", "template", "line")
     per_template = rows.groupBy("bin", "event_id", "template").agg(
         F.count(F.lit(1)).alias("n"), F.min("line").alias("line")
     )
@@ -249,8 +245,6 @@ def anomaly_windows(
     The rolling width follows from the number of bins; a series of fewer than five
     has no anomalies.
     """
-    if 1440 % minutes:
-        raise ValueError("the bin must divide a day")
     binned = cut_lineage(binned_counts(entries, minutes), "bins")
     width = width or adaptive_width(bin_span(binned))
     scores = scored_series(filled(binned, minutes), width or 1)
@@ -277,8 +271,9 @@ def volume_bursts(entries: DataFrame, minutes: int = 5, threshold: float = 3.0,
     The window includes the bin itself, so at width 10 no score can exceed 2.85.
     """
     timed = entries.filter(F.col("timestamp").isNotNull())
-    binned = timed.groupBy(bin_number(F.col("timestamp"), minutes).alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    binned = binned.withColumn("timestamp", bin_start(F.col("bin"), minutes))
+    shift = _origin_shift(timed, minutes)
+    binned = timed.groupBy(bin_number(F.col("timestamp"), minutes, shift).alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    binned = binned.withColumn("timestamp", bin_start(F.col("bin"), minutes, shift))
     scored = rolling(filled(cut_lineage(binned, "bins"), minutes), ["count"], width)
     z = zscore(F.col("count"), F.col("count_ma"), F.col("count_std"))
     return scored.select(

@@ -108,9 +108,9 @@ def analyze(
     )
 
 
-def analyze_path(spark: SparkSession, path: str, year: int | None = None, readers=None, **options) -> Analysis:
-    """The same from a log file of any known format."""
-    name = path.rstrip("/").rsplit("/", 1)[-1]
+def analyze_path(spark: SparkSession, path: str | list[str], year: int | None = None, readers=None, **options) -> Analysis:
+    """The same from a log of any known format: a file, a folder, a glob, or a list of them."""
+    name = (path if isinstance(path, str) else path[0]).rstrip("/").rsplit("/", 1)[-1]
     return analyze(read_entries(spark, path, year, readers=readers), name, **options)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions import patterns as P
 from logloom.functions.text import strip
-from logloom.sources.lines import read_lines
+from logloom.sources.lines import first_lines, read_lines
 from logloom.sources.parsers import parse_servicing, parse_syslog
 from logloom.sources.tables import read_csv
 
@@ -51,32 +51,40 @@ def score_format(lines: DataFrame, ruleset: str = "current") -> DataFrame:
     return scored.select("syslog_hits", "servicing_hits", fmt.alias("format"))
 
 
-def detect_format(spark: SparkSession, path: str, ruleset: str = "current") -> str:
-    """``csv`` by file name, else the scored format; reads 50 lines only."""
-    if os.path.splitext(path)[1].lower() == ".csv":
+def suffix_of(spark: SparkSession, paths: str | list[str]) -> str:
+    """The lower-case file suffix of ``paths``; of a folder or glob, that of its first file."""
+    first = paths if isinstance(paths, str) else paths[0]
+    own = os.path.splitext(first.rstrip("/"))[1].lower()
+    if own and not any(c in own for c in "*?{["):
+        return own
+    files = sorted(spark.read.text(paths).inputFiles())
+    return os.path.splitext(files[0])[1].lower() if files else own
+
+
+def detect_format(spark: SparkSession, paths: str | list[str], ruleset: str = "current") -> str:
+    """``csv`` by file name, else the scored format; of several files the first in path order decides, by its first 50 lines."""
+    if suffix_of(spark, paths) == ".csv":
         return "csv"
-    head = spark.read.text(path).limit(SAMPLE_LINES)
-    head = head.select((F.monotonically_increasing_id() + 1).alias("line"), F.col("value").alias("text"))
-    return score_format(head, ruleset).first()["format"]
+    return score_format(first_lines(spark, paths, SAMPLE_LINES), ruleset).first()["format"]
 
 
 def read_entries(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     year: int | None = None,
     ruleset: str = "current",
     on_unknown: str | None = None,
     readers: dict[str, Callable[[SparkSession, str], DataFrame]] | None = None,
     **options,
 ) -> DataFrame:
-    """Entries of a log file of any known format.
+    """Entries of a log of any known format: a file, a folder, a glob, or a list of them.
 
-    ``readers`` adds formats: a function from (session, path) to entries for each
+    ``line`` runs on from file to file in path order, so it is unique. ``readers`` adds formats: a function from (session, path) to entries for each
     lower-case file suffix, tried before detection. The ``legacy`` ruleset raises
     on an unknown format unless ``on_unknown='servicing'``, and takes a CSV without
     rows for plain lines.
     """
-    suffix = os.path.splitext(path)[1].lower()
+    suffix = suffix_of(spark, path)
     if readers and suffix in readers:
         return readers[suffix](spark, path)
     fmt = detect_format(spark, path, ruleset)
@@ -84,9 +92,7 @@ def read_entries(
         entries = read_csv(spark, path, year, ruleset, **options)
         if ruleset != "legacy" or not entries.isEmpty():
             return entries
-        head = spark.read.text(path).limit(SAMPLE_LINES)
-        head = head.select((F.monotonically_increasing_id() + 1).alias("line"), F.col("value").alias("text"))
-        fmt = score_format(head, ruleset).first()["format"]
+        fmt = score_format(first_lines(spark, path, SAMPLE_LINES), ruleset).first()["format"]
     if fmt == "unknown":
         if on_unknown != "servicing":
             raise ValueError(f"unknown log format: {path}")

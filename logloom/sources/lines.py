@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logloom.functions.text import strip
+from logloom.operators.numbering import cut_lineage
 
 
 def scan_columns():
@@ -17,30 +18,39 @@ def scan_columns():
     ]
 
 
-def number_rows(scan: DataFrame, per_file: bool = True) -> DataFrame:
+# Splits whose offsets are sent to every task at most; more are joined by a shuffle.
+BROADCAST_SPLITS = 200_000
+
+
+def number_rows(scan: DataFrame, per_file: bool = False) -> DataFrame:
     """Add ``line`` (1-based, in file order) to a file scan with ``scan_columns``.
 
     Each file split counts its rows, a running sum over the splits (one row per
-    split) gives the offsets, and each row adds its position inside the split. The
-    scan runs twice, under the same splits, and is never sorted or shuffled whole.
-    With ``per_file=False`` the numbers run on from file to file in path order.
+    split, stored) gives the offsets, and each row adds its position inside the split. The
+    scan runs twice, under the same splits. Up to ``BROADCAST_SPLITS`` splits the offsets
+    go to the rows, and the text is neither sorted nor shuffled; a table of more splits
+    is joined on the split. The numbers run on from file to file in path order, or
+    start anew in each file with ``per_file=True``.
     """
     splits = scan.groupBy("file", "block").agg(F.min("mid").alias("first_mid"), F.count(F.lit(1)).alias("n"))
     by = Window.partitionBy("file").orderBy("block") if per_file else Window.orderBy("file", "block")
     before = by.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.select(
-        "file", "block", "first_mid", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")
+    offsets = cut_lineage(
+        splits.select("file", "block", "first_mid", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")), "splits"
     )
+    if offsets.count() <= BROADCAST_SPLITS:
+        offsets = F.broadcast(offsets)
     kept = [c for c in scan.columns if c not in ("file", "block", "mid")]
     return scan.join(offsets, ["file", "block"]).select(
         (F.col("mid") - F.col("first_mid") + F.col("offset") + 1).alias("line"), *kept, "file"
     )
 
 
-def read_lines(spark: SparkSession, paths, per_file: bool = True) -> DataFrame:
-    """``(line, text, file)`` for every non-blank line of ``paths``.
+def read_lines(spark: SparkSession, paths, per_file: bool = False) -> DataFrame:
+    """``(line, text, file)`` for every non-blank line of ``paths`` (one or a list of files, folders, globs).
 
-    Blank lines count but are not returned; outer white space is dropped.
+    Blank lines count but are not returned; outer white space is dropped. ``line`` is unique over
+    all files unless ``per_file``.
     """
     scan = spark.read.text(paths).select(F.col("value"), *scan_columns())
     return (
@@ -48,3 +58,16 @@ def read_lines(spark: SparkSession, paths, per_file: bool = True) -> DataFrame:
         .select("line", strip(F.col("value")).alias("text"), "file")
         .filter(F.col("text") != "")
     )
+
+
+def first_lines(spark: SparkSession, paths, count: int) -> DataFrame:
+    """``(line, text)`` of the first ``count`` lines of the first file in path order.
+
+    Only rows of the file's first split are taken, in their order; a file of many splits is not read on.
+    """
+    files = sorted(spark.read.text(paths).inputFiles())
+    rows = []
+    if files:
+        head = spark.read.text(files[0]).select("value", *scan_columns()).filter(F.col("block") == 0)
+        rows = sorted(head.select("mid", "value").limit(count).collect())
+    return spark.createDataFrame([(i + 1, r["value"]) for i, r in enumerate(rows)], "line bigint, text string")

@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import SparkSession
 
+from logloom.packaging import ship
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -13,5 +15,6 @@ def spark():
     )
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
+    ship(session)
     yield session
     session.stop()

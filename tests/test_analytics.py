@@ -156,11 +156,60 @@ def test_bins_that_do_not_divide_a_day_start_at_midnight(spark):
     assert len(got) == 214 - 8 + 1
 
 
-def test_dense_number_over_chunks(spark):
-    keys = sorted(random.Random(1).sample(range(-500, 5000), 300))
+@pytest.mark.parametrize("step", [1, 1_000_000])
+def test_dense_number_of_dense_and_sparse_keys(spark, step):
+    keys = [k * step for k in sorted(random.Random(1).sample(range(-500, 5000), 300))]
     df = spark.createDataFrame([(k,) for k in keys], "k bigint").repartition(5)
-    got = {r["k"]: r["n"] for r in dense_number(df, "k", "n", chunk=100).collect()}
-    assert got == {k: i for i, k in enumerate(keys, 1)}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        numbered = dense_number(df, "k", "n")
+        assert {r["k"]: r["n"] for r in numbered.collect()} == {k: i for i, k in enumerate(keys, 1)}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    # The offsets have a row per range of rows, however far the keys are apart.
+    assert 1 < len(numbered.inputFiles()) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_one_grid_for_bins_that_do_not_divide_a_day(spark):
+    rows = [(60 * m, 1 + m % 2, "Info") for m in range(0, 2000, 3)] + [(60 * 700 + i % 60, 3, "Error") for i in range(300)]
+    log = entries(spark, rows)
+    starts = {r["timestamp"] for r in W.time_series(log, 7).collect()}
+    found = W.anomaly_windows(log, 7).collect()
+    bursts = W.volume_bursts(log, 7, threshold=2.0).collect()
+    assert found and bursts and min(starts) == T0
+    assert {r["timestamp"] for r in found} | {r["timestamp"] for r in bursts} <= starts
+    peak = T0 + timedelta(minutes=700)
+    by = {r["timestamp"]: r for r in found}
+    assert peak in by and by[peak]["top_events"][0]["template"].startswith("t3")
+    bins = sorted(r["bin"] for r in W.top_events(log, minutes=7).collect())
+    assert bins == list(range(bins[0], bins[0] + len(starts)))
+
+
+@pytest.mark.parametrize("finish_at", [2, 12, 2048])
+def test_ties_give_one_tree_at_every_size(spark, finish_at):
+    # Unit vectors along the axes and their opposites: nearly all distances are exactly 1 or 2.
+    axes = [[float(s) if i == k else 0.0 for i in range(8)] for k in range(8) for s in (1, -1)]
+    vectors = spark.createDataFrame(list(enumerate(axes)), "template_idx bigint, vector array<double>").repartition(3)
+    tree = sorted(tuple(r) for r in C.average_linkage(vectors, block_rows=5, finish_at=finish_at).collect())
+    clusters = [{"id": i, "sum": np.array(v), "n": 1} for i, v in enumerate(axes)]
+    want = []
+    while len(clusters) > 1:
+        pairs = [
+            (1 - a["sum"] @ b["sum"] / (a["n"] * b["n"]), a["id"], b["id"]) for i, a in enumerate(clusters) for b in clusters[i + 1 :]
+        ]
+        height, i, j = min(pairs)
+        a, b = (next(c for c in clusters if c["id"] == x) for x in (i, j))
+        a["sum"], a["n"] = a["sum"] + b["sum"], a["n"] + b["n"]
+        clusters.remove(b)
+        want.append((i, j, height, a["n"]))
+    assert [t[:2] + t[3:] for t in tree] == [t[:2] + t[3:] for t in sorted(want)]
+    assert np.allclose([t[2] for t in tree], [t[2] for t in sorted(want)])
+
+
+def test_kmeans_says_when_it_was_cut_short(spark):
+    vectors = frame(spark, cloud(3))
+    with pytest.warns(UserWarning, match="k-means stopped after 1"):
+        C.kmeans(vectors, 4, max_iterations=1)
 
 
 # ---- vectors and clusters --------------------------------------------------------

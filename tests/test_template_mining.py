@@ -170,3 +170,9 @@ def test_components(spark, seed):
     df = spark.createDataFrame(edges, "u bigint, v bigint")
     got = {r["node"]: r["component"] for r in connected_components(df).collect()}
     assert got == want
+
+
+def test_repeated_lines_are_an_error(spark):
+    rows = spark.createDataFrame([(1, "a b c d e f g h i"), (1, "a b c d e f g h i j k l")], "line bigint, message_raw string")
+    with pytest.raises(ValueError, match="lines repeat"):
+        mine_templates(rows)

@@ -155,6 +155,78 @@ def test_line_numbers_over_many_splits(spark, tmp_path, per_file):
     assert got == want
 
 
+def small_splits(spark, size=4096):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+
+
+def whole_splits(spark):
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_a_folder_is_one_log(spark, tmp_path):
+    texts = []
+    for k, name in enumerate(("a.log", "b.log", "c.log")):
+        part = [f"Jun 14 15:{i // 60 % 60:02d}:{i % 60:02d} host app[{k}]: " + " ".join(f"w{k}{j}" for j in range(9 + 3 * (i % 2))) + f" n{i % 5}" for i in range(300)]
+        write(tmp_path / name, "\n".join(part) + "\n")
+        texts += part
+    small_splits(spark)
+    try:
+        rows = read_entries(spark, str(tmp_path), year=2020).orderBy("line").collect()
+        assert [r["line"] for r in rows] == list(range(1, 901))
+        assert [r["message_raw"] for r in rows] == [t.split(": ", 1)[1] for t in texts]
+        for paths in (str(tmp_path / "*.log"), [str(tmp_path / n) for n in ("a.log", "b.log", "c.log")]):
+            assert {(r["line"], r["message_raw"]) for r in read_entries(spark, paths, year=2020).collect()} == {(r["line"], r["message_raw"]) for r in rows}
+        plan = read_lines(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        above_text = plan[: plan.index("FileScan text")]
+        assert "Exchange hashpartitioning" not in above_text and "Sort " not in above_text and "BroadcastHashJoin" in above_text
+    finally:
+        whole_splits(spark)
+
+
+def test_the_first_lines_of_the_first_file_choose_the_format(spark, tmp_path):
+    write(tmp_path / "1.log", f"{WIN}\n" * 60 + f"{SYS}\n" * 3000)
+    write(tmp_path / "0.log", f"{SYS}\n" * 40 + f"{WIN}\n" * 3000)
+    small_splits(spark, 2000)
+    try:
+        assert detect_format(spark, str(tmp_path / "1.log")) == "servicing"
+        assert detect_format(spark, str(tmp_path / "0.log")) == "syslog"
+        assert detect_format(spark, str(tmp_path)) == "syslog"
+        assert detect_format(spark, [str(tmp_path / "1.log"), str(tmp_path / "0.log")]) == "syslog"
+    finally:
+        whole_splits(spark)
+
+
+def test_csv_times_in_words_and_digits(spark):
+    forms = {
+        "Sun Dec 04 04:47:44 2005": datetime(2005, 12, 4, 4, 47, 44),
+        "Dec 04 2005 04:47:44": datetime(2005, 12, 4, 4, 47, 44),
+        "December 4, 2005 4:47:44.25": datetime(2005, 12, 4, 4, 47, 44, 250000),
+        "20240105 10:00:00": datetime(2024, 1, 5, 10),
+        "20240105": datetime(2024, 1, 5),
+        "081109 203615": datetime(2009, 8, 11, 20, 36, 15),
+        "10:20:30,5": datetime(2021, 3, 4, 10, 20, 30, 500000),
+        "Foo 04 2005 04:47:44": None,
+        "20241305 10:00:00": None,
+        "Dec 32 2005 04:47:44": None,
+        "": None,
+    }
+    rows = [(str(i), t, "m") for i, t in enumerate(forms, 1)]
+    df = spark.createDataFrame(rows, "lineid string, timestamp string, content string")
+    assert [r["timestamp"] for r in csv_entries(df, date="2021-03-04").orderBy("line").collect()] == list(forms.values())
+    assert csv_entries(df).filter("line = 7").first()["timestamp"] is None
+
+
+def test_csv_folder_is_numbered_over_all_files(spark, tmp_path):
+    for name, words in (("a.csv", "abc"), ("b.csv", "de")):
+        write(tmp_path / name, "LineId,Content\n" + "".join(f"{i},{w}\n" for i, w in enumerate(words, 1)))
+    for multi_line in (True, False):
+        rows = read_csv(spark, str(tmp_path), multi_line=multi_line).orderBy("line").collect()
+        assert [(r["line"], r["message_raw"]) for r in rows] == list(enumerate("abcde", 1))
+    assert detect_format(spark, str(tmp_path)) == "csv"
+
+
 def test_csv_layouts(spark, tmp_path):
     full = write(
         tmp_path / "a.csv",
