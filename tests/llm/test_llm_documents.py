@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from logloom.llm import language_id, queries, simhash, suffix_dedup
+from logloom.llm import language_id, lm_score, queries, simhash, suffix_dedup
 from logloom.llm.language_id import fit, gradients, identify, labelled, new_network, pooled, states, windows_of
 from logloom.llm.lm_score import SYMBOLS, Model, loss_tables, score_documents
 from logloom.llm.secret_scan import marginal_bytes, redact, redact_text, scan_secrets
@@ -311,7 +311,9 @@ def brute_loss(train, text):
     return -sum(np.log2(p(line, k)) for k in range(2, len(line))) / len(text)
 
 
-def test_scores_against_definition(spark):
+@pytest.mark.parametrize("most_ids", [0, 1_000_000])
+def test_scores_against_definition(spark, monkeypatch, most_ids):
+    monkeypatch.setattr(lm_score, "BROADCAST_IDS", most_ids)
     rows = [(1, "abab abba"), (2, "the cat"), (3, "the hat é"), (4, ""), (5, None), (2, "again"), (None, "no id")]
     target = spark.createDataFrame([(2,), (3,), (3,), (77,), (None,)], "doc_id bigint")
     got = score_documents(frame(spark, rows), target).collect()
