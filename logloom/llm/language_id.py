@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.llm.common import as_text, joined_bytes, ragged, steps
+from logloom.llm.common import as_text, joined_bytes, steps
 
 UNDECIDED = "und"
 # Bytes of a window; every position of a text is in exactly one window.
@@ -171,15 +171,21 @@ def gradients(net: Network, windows: np.ndarray, target: np.ndarray) -> tuple[fl
     return loss, [d_table, d_loop, d_head, d_bias]
 
 
-def windows_of(flat: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """All windows of texts given by their bytes and offsets, and the text of each; short ones are padded with 256."""
-    sizes = np.diff(offsets)
-    counts = -(-sizes // window)
-    owner = np.repeat(np.arange(len(sizes)), counts)
-    starts = ragged(np.zeros(len(sizes), np.int64), counts) * window + offsets[:-1][owner]
-    ends = np.minimum(starts + window, offsets[1:][owner])
+def windows_of(
+    flat: np.ndarray, offsets: np.ndarray, window: int = WINDOW, first: int = 0, most: int | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of texts given by their bytes and offsets, and the text of each; short ones are padded with 256.
+
+    Of all windows in order, ``most`` from number ``first`` on.
+    """
+    counts = -(-np.diff(offsets) // window)
+    ends = np.cumsum(counts)
+    total = int(ends[-1]) if len(ends) else 0
+    number = np.arange(first, total if most is None else min(first + most, total))
+    owner = np.searchsorted(ends, number, "right")
+    starts = (number - (ends - counts)[owner]) * window + offsets[:-1][owner]
     places = starts[:, None] + np.arange(window)
-    inside = places < ends[:, None]
+    inside = places < offsets[1:][owner][:, None]
     out = np.where(inside, flat[np.where(inside, places, 0)] if len(flat) else 256, 256)
     return out.astype(np.int16), owner
 
@@ -217,18 +223,15 @@ def train(texts: list[bytes], labels: list[str], *, steps_: int = TRAINING_STEPS
 def pooled(net: Network, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Mean probability of each language over all positions of each text (zeros for empty texts)."""
     n, c = len(offsets) - 1, len(net.languages)
-    windows, owner = windows_of(flat, offsets)
     total = np.zeros((n, c))
-    order = np.argsort((windows[:, -1] == 256), kind="stable")  # full windows first, then the padded ones
-    for at in range(0, len(order), BATCH):
-        pick = order[at : at + BATCH]
-        part = windows[pick]
+    windows = int((-(-np.diff(offsets) // WINDOW)).sum())
+    for at in range(0, windows, BATCH):  # a batch at a time, however long the texts are
+        part, owner = windows_of(flat, offsets, first=at, most=BATCH)
         p = labelled(net, part)
-        if (part[:, -1] == 256).any():
-            p *= (part.T != 256)[:, None, :]
+        p *= (part.T != 256)[:, None, :]
         sums = p.sum(axis=0)
         for k in range(c):
-            total[:, k] += np.bincount(owner[pick], weights=sums[k], minlength=n)
+            total[:, k] += np.bincount(owner, weights=sums[k], minlength=n)
     return total / np.maximum(np.diff(offsets), 1)[:, None]
 
 

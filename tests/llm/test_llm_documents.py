@@ -248,7 +248,7 @@ def test_gradients_are_slopes():
             assert abs((losses[0] - losses[1]) / 2e-2 - parts[i]) < 1e-3 * max(1, abs(parts[i]))
 
 
-def test_labels_equal_states_and_head_and_pool_all_positions():
+def test_labels_equal_states_and_head_and_pool_all_positions(monkeypatch):
     net = new_network(["a", "b"])
     text = [b"", bytes(range(200)), b"x" * 64, b"abc"]
     flat, offsets = np.frombuffer(b"".join(text), np.uint8), np.cumsum([0, *map(len, text)])
@@ -260,6 +260,8 @@ def test_labels_equal_states_and_head_and_pool_all_positions():
     real = (windows.T != 256)[:, :, None]
     want = [(p * real)[:, owner == k].sum((0, 1)) / max(len(t), 1) for k, t in enumerate(text)]
     assert np.abs(pooled(net, flat, offsets) - want).max() < 1e-5
+    monkeypatch.setattr(language_id, "BATCH", 2)
+    assert np.abs(pooled(net, flat, offsets) - want).max() < 1e-5
 
 
 def test_held_out_accuracy(spark, docs):
