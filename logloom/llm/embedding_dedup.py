@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.vectors import dimension, matrix, valid_vectors
+from logloom.llm.vectors import dimension, matrix, unit_vectors
 from logloom.operators.components import connected_components
 from logloom.operators.numbering import cut_lineage
 
@@ -140,16 +140,8 @@ def near_duplicate_vectors(
     one vector each.
     """
     everything = vectors.select(vectors[id_col].cast("bigint").alias("vec_id"))
-    valid = valid_vectors(vectors, id_col, vector_col).filter("_id is not null")
-    length = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda s, x: s + x * x))
-    biggest = F.array_max(F.transform("_v", F.abs))
-    # Scaled first, so that no square over- or underflows.
-    scaled = valid.withColumn("_v", F.transform("_v", lambda x: x / biggest))
-    unit = scaled.withColumn("_n", length).select("_id", F.transform("_v", lambda x: x / F.col("_n")).alias("_v"))
-    unit = cut_lineage(unit, "unit-vectors")
-    dimension(unit)
-    same = F.sha2(F.array_join(F.transform("_v", lambda x: F.hex((x + 0.0).cast("string"))), ","), 256)
-    keyed = cut_lineage(unit.withColumn("_same", same), "vector-keys")
+    keyed = cut_lineage(unit_vectors(vectors, id_col, vector_col), "unit-vectors")
+    dimension(keyed)
     folded = keyed.groupBy("_same").agg(F.min("_id").alias("node"), F.count(F.lit(1)).alias("weight"), F.min_by("_v", "_id").alias("_v"))
     folded = cut_lineage(folded, "distinct-vectors")
     rows = folded.count()
