@@ -16,8 +16,8 @@ from logloom.operators.numbering import cut_lineage
 TREES, BITS = 96, 48
 # The trees are ascended together until a query has met this share of a shard, and at least so many rows.
 SHARE, LEAST = 0.45, 1000
-# Rows of one shard; every query visits every shard.
-SHARD_ROWS = 65_536
+# Rows of one shard, and queries that pass one copy of it; every query visits every shard.
+SHARD_ROWS, QUERY_ROWS = 65_536, 65_536
 # Queries of one shard that are answered at a time.
 QUERY_STEP = 256
 
@@ -111,14 +111,16 @@ def nearest_by_product(
     share: float = SHARE,
     least: int = LEAST,
     shard_rows: int = SHARD_ROWS,
+    query_rows: int = QUERY_ROWS,
     seed: int = 23,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` rows found with the largest inner product, nearest first.
 
     ``is_query`` is a condition on ``id_col``; every other row is a candidate, ties go to the smaller
     id, and scores are inner products of the original vectors in doubles. Rows are dealt into
-    shards of about ``shard_rows`` by a hash of the id, each with a forest of its own that is built
-    where the shard lies; the queries stream past it. A query thus meets at least ``share`` of
+    shards of about ``shard_rows`` by a hash of the id, queries into parts of about ``query_rows``. A
+    task builds the forest of one shard, and one part of the queries streams past it, so a
+    task is bounded whatever the table. A query thus meets at least ``share`` of
     the rows or ``least`` of each shard. Null, zero or non-finite vectors, and null ids, take no
     part. Rows with one id are one candidate; the nearest of them counts.
     """
@@ -127,9 +129,12 @@ def nearest_by_product(
     norm, count = rows.select(F.max(F.sqrt(F.aggregate("_v", F.lit(0.0), lambda s, x: s + x * x))), F.count(F.lit(1))).first()
     schema = "query_id bigint, vec_id bigint, score double"
     shards = max(1, -(-(count or 0) // shard_rows))
-    data = rows.select(F.pmod(F.xxhash64("_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "_id", "_v")
     asked = rows.filter(is_query(F.col("_id")))
-    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "_id", "_v")
+    parts = max(1, -(-asked.count() // query_rows))
+    dealt = lambda n: F.pmod(F.xxhash64("_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    data = rows.select(dealt(shards).alias("shard"), every(parts).alias("part"), F.lit(0).alias("kind"), "_id", "_v")
+    asked = asked.select(every(shards).alias("shard"), dealt(parts).alias("part"), F.lit(1).alias("kind"), "_id", "_v")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, ids, parts, forest = None, [], [], None
@@ -155,7 +160,7 @@ def nearest_by_product(
                     if len(q):
                         yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s)], names=["query_id", "vec_id", "score"])
 
-    dealt = data.union(asked).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "kind", "_id")
-    found = dealt.mapInArrow(search, schema).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    tasks = data.union(asked).repartitionById(shards * parts, F.col("shard") * parts + F.col("part")).sortWithinPartitions("shard", "kind", "_id")
+    found = tasks.mapInArrow(search, schema).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

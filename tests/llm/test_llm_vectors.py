@@ -95,12 +95,12 @@ def recall(got, want):
     return np.mean([len(set(found[q]) & set(w)) / len(w) for q, w in want.items() if w])
 
 
-@pytest.mark.parametrize("shard_rows", [300, 100_000])
-def test_nearest_recall_on_several_shards(spark, shard_rows):
+@pytest.mark.parametrize(("shard_rows", "query_rows"), [(300, 30), (100_000, 100_000)])
+def test_nearest_recall_on_several_shards(spark, shard_rows, query_rows):
     rng = np.random.default_rng(3)
     vectors = rng.normal(size=(2000, 24)) * rng.uniform(0.2, 3, size=(2000, 1))
     rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
-    got = nearest_by_product(frame(spark, rows), lambda i: i % 20 == 0, shard_rows=shard_rows, least=50).collect()
+    got = nearest_by_product(frame(spark, rows), lambda i: i % 20 == 0, shard_rows=shard_rows, query_rows=query_rows, least=50).collect()
     assert recall(got, brute_nearest(rows, 20, lambda i: i % 20 == 0)) >= 0.9
     for r in got[:200]:
         assert abs(r["score"] - vectors[r["query_id"]] @ vectors[r["vec_id"]]) < 1e-9 and r["query_id"] != r["vec_id"]
