@@ -7,12 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logloom.functions.text import tokenize
 from logloom.operators import bursts as B
+from logloom.operators import templates as T
 from logloom.operators import timeseries as W
-from logloom.operators.numbering import shared_folder
+from logloom.operators.numbering import cut_lineage, shared_folder
 from logloom.sources import detect
 from logloom.sources.lines import read_lines
-from logloom.sources.tables import csv_entries, read_csv
+from logloom.sources.tables import csv_entries, from_table, read_csv
 from workload import inputs as I
 from workload.inputs import sql
 from workload.queries import _FORMAT, _SERIES, _Z, _burst_sql, _shown_top, query, rounded
@@ -128,3 +130,51 @@ def repetition_bursts_of_hourly_stamps(spark, sf):
     """Stamps cut to the hour, as loggers with coarse clocks write them, so that events repeat within ten seconds."""
     rows = I.gapped(spark, sf).withColumn("timestamp", F.date_trunc("hour", "timestamp").cast("timestamp_ntz"))
     return B.repetition_bursts(rows)
+
+
+# ---- what must hold for every mined log ---------------------------------------------------
+
+
+def _mining_checks(entries: DataFrame, mined) -> DataFrame:
+    """Counts, and violations of each rule of similarity mining, which must all be zero."""
+    rows = T.attach_templates(entries, mined)
+    said, shape = tokenize(F.col("message_raw")), F.split("template", " ")
+    pairs = F.zip_with(said, shape, lambda a, b: (b != "<*>") & (a != b))
+    wild = F.size(F.filter(shape, lambda w: w == "<*>")) / F.size(shape)
+    events = rows.groupBy("event_id").agg(
+        F.min("line").alias("founded"), F.min_by("template", "line").alias("first"), F.min_by(F.array_join(said, " "), "line").alias("founder")
+    )
+    # Every event must be founded later than the one numbered before it.
+    order = events.join(events.select((F.col("event_id") + 1).alias("event_id"), F.col("founded").alias("before")), "event_id", "left")
+    found = order.agg(
+        F.count_if(F.col("before") >= F.col("founded")).alias("misnumbered"),
+        F.count_if(F.col("before").isNull() & (F.col("event_id") != 1)).alias("gaps"),
+        F.count_if(F.col("first") != F.col("founder")).alias("unfounded"),
+    )
+    lines = rows.agg(
+        F.count(F.lit(1)).alias("lines"),
+        F.count_if(F.col("event_id") == 0).alias("without_event"),
+        F.count_if(F.size(said) != F.size(shape)).alias("other_length"),
+        F.count_if(F.exists(pairs, lambda x: x)).alias("other_word"),
+        F.count_if(1 - wild < 0.75).alias("too_general"),
+    )
+    one = F.lit(1).alias("one")
+    return lines.select(one, "*").join(found.select(one, "*"), "one").drop("one")
+
+
+_NONE = ", ".join(f"CAST(0 AS BIGINT) AS {c}" for c in ("without_event", "other_length", "other_word", "too_general", "misnumbered", "gaps", "unfounded"))
+
+
+@query(f"SELECT count(*) AS lines, {_NONE} FROM events")
+def drain_rules(spark, sf):
+    """The rules that the templates of the wide log keep."""
+    rows = cut_lineage(I.entries(spark, sf), "entries")
+    return _mining_checks(rows, T.mine_templates(rows))
+
+
+@query(sql(f"SELECT count(*) AS lines, {_NONE} FROM doc_lines"))
+def drain_document_line_rules(spark, sf):
+    """The same for the lines of all documents."""
+    lines = I.doc_lines(spark, sf).withColumn("k", F.col("doc_id") * 1_000_000 + F.col("pos"))
+    rows = cut_lineage(from_table(lines, "text", line="k", source="docs"), "doc-lines")
+    return _mining_checks(rows, T.mine_templates(rows))
