@@ -378,27 +378,31 @@ def mine_templates(
 def attach_templates(entries: DataFrame, mined: MinedTemplates) -> DataFrame:
     """Add ``event_id`` and ``template``, the template version in force at each line.
 
-    The versions of an event are few (each takes a word away), so they travel as one
-    array per event and no line range has to be joined.
+    The versions of an event are few (each takes a word away). Only the lines they start at
+    travel with the rows of an event; they tell the number of the version, by which its text is joined.
     """
-    states = mined.versions.groupBy("event_id").agg(
-        F.array_sort(F.collect_list(F.struct("valid_from", "template"))).alias("_states")
-    )
-    # Stored, its size is known: rows are not shuffled by event if the states are few.
-    states = cut_lineage(states, "states")
+    in_order = Window.partitionBy("event_id").orderBy("valid_from")
+    numbered = mined.versions.select("event_id", F.row_number().over(in_order).alias("_version"), "valid_from", F.col("template").alias("_text"))
+    # Stored, their sizes are known: rows are not shuffled by event if versions are few.
+    numbered = cut_lineage(numbered, "numbered")
+    starts = cut_lineage(numbered.groupBy("event_id").agg(F.array_sort(F.collect_list("valid_from")).alias("_starts")), "starts")
     kept = [c for c in entries.columns if c not in ("event_id", "template")]
     base = entries.select(*kept, tokenize(F.col("message_raw")).alias("_tokens"))
     assigned = mined.assignments.select(F.col("tokens").alias("_tokens"), "event_id")
     if mined.lone is not None:
         base = base.filter(~F.coalesce(_never_joins(F.col("_tokens"), mined.threshold), F.lit(False)))
-    state = F.element_at(F.filter("_states", lambda s: s["valid_from"] <= F.col("line")), -1)
+    version = F.size(F.filter("_starts", lambda s: s <= F.col("line")))
     out = (
         base.join(assigned, "_tokens", "left")
-        .join(states, "event_id", "left")
+        .drop("_tokens")
+        .join(starts, "event_id", "left")
+        .withColumn("_version", version)
+        .drop("_starts")
+        .join(numbered.drop("valid_from"), ["event_id", "_version"], "left")
         .select(
             *kept,
             F.coalesce("event_id", F.lit(0).cast("bigint")).alias("event_id"),
-            F.coalesce(state["template"], F.lit("")).alias("template"),
+            F.coalesce("_text", F.lit("")).alias("template"),
         )
     )
     if mined.lone is None:
