@@ -186,7 +186,7 @@ def anomaly_type(threshold: float) -> Column:
 
 
 def interpretation(kind: Column, count: Column, top: Column, minutes: int = 5) -> Column:
-    """Reading of an anomaly in words, with its two leading events."""
+    """Reading of an anomaly in words, with its two leading events. The phrases are fixed values of the output format."""
     said = F.concat_ws(
         " + ",
         F.when(

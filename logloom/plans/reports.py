@@ -157,6 +157,9 @@ def _found(count: Column, section: int, some: Column, heading: tuple[str, ...],
     )
 
 
+# The headings, table heads and sentences of the reports below are their output format.
+
+
 def markdown_report(result: Analysis, variant: str = "current") -> DataFrame:
     """``(section, ord, line)``: the Markdown report; order by the first two to read it.
 

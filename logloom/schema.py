@@ -20,7 +20,6 @@ ENTRY = T.StructType(
 
 ENTRY_COLUMNS = ENTRY.fieldNames()
 
-ANOMALY_TOP_EVENTS = "array<struct<count:bigint,template:string>>"
 
 
 _EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.operators.numbering import cut_lineage
+from logloom.operators.semantics import dense_vectors
 from logloom.operators.templates import masked_template_ids
 from logloom.sources.parsers import parse_servicing, parse_syslog
 
@@ -72,8 +74,6 @@ def doc_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
-    from logloom.operators.semantics import dense_vectors
-
     named = table(spark, folder, "embeddings").withColumn("name", F.concat(F.lit("vector "), F.col("vec_id")))
     return dense_vectors(named, "vec_id", "embedding", "name").join(
         named.select(F.col("vec_id").alias("template_idx"), "label"), "template_idx"
@@ -82,6 +82,9 @@ def vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 # ---- the same views as SQL text ------------------------------------------------
 
+# The line, token and word patterns of the log formats, repeated here so that
+# the SQL does not depend on the package that it checks.
+
 SYSLOG_RE = r"^(\w{3})\s+(\d{1,2})\s(\d{2}:\d{2}:\d{2})\s(\S+)\s([^\[:]+?)(?:\[(\d+)\])?:\s(.*)$"
 SERVICING_RE = r"^(\d{4}-\d{2}-\d{2})\s(\d{2}:\d{2}:\d{2})[,\d]*\s+(\w+)\s+(\S+)\s+(.*)$"
 VARIABLE_RE = (
@@ -177,8 +180,6 @@ def ctes() -> dict[str, str]:
 
 def sql(body: str, *extra: tuple[str, str]) -> str:
     """``body`` under the views it needs, directly or through others."""
-    import re
-
     views = {**ctes(), **dict(extra)}
     needed, todo = set(), [body]
     while todo:

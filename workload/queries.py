@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logloom.functions.text import masked_template, merge_tokens, tokenize
+from logloom.functions.text import masked_template, merge_tokens, strip, tokenize
 from logloom.operators import bursts as B
 from logloom.operators import clustering as C
 from logloom.operators import semantics as E
@@ -15,8 +15,7 @@ from logloom.operators import similarity as SIM
 from logloom.operators import stats as S
 from logloom.operators import templates as T
 from logloom.operators import timeseries as W
-from logloom.plans import analyze as A
-from logloom.plans import reports as R
+from logloom.operators.numbering import cut_lineage
 from logloom.sources.detect import score_format
 from logloom.sources.parsers import parse_servicing, parse_syslog
 from logloom.sources.tables import csv_entries, from_table
@@ -68,8 +67,6 @@ def parse_servicing_lines(spark, sf):
 )))
 def parse_unmatched_lines(spark, sf):
     lines = I.doc_lines(spark, sf)
-    from logloom.functions.text import strip
-
     return parse_syslog(
         lines.select((F.col("doc_id") * 1_000_000 + F.col("pos")).alias("line"), strip(F.col("text")).alias("text")), I.YEAR
     )
@@ -167,8 +164,6 @@ _MERGE = """SELECT doc_id, pos, array_to_string(list_concat(
 @query(sql(_MERGE.replace("TOKENS", I.sql_tokens("text"))))
 def template_merge(spark, sf):
     """Each document line merged with the next one of its document."""
-    from pyspark.sql import Window
-
     toks = I.doc_lines(spark, sf).select("doc_id", "pos", tokenize(F.col("text")).alias("a"))
     # The next non-blank line need not be pos + 1; documents are at most some thousand lines long.
     pairs = toks.withColumn("b", F.lead("a").over(Window.partitionBy("doc_id").orderBy("pos"))).filter(F.col("b").isNotNull())
@@ -176,8 +171,6 @@ def template_merge(spark, sf):
 
 
 def _drained(spark, sf, suffix="''"):
-    from logloom.operators.numbering import cut_lineage
-
     rows = cut_lineage(I.entries(spark, sf, suffix), "entries")
     mined = T.mine_templates(rows)
     return T.attach_templates(rows, mined), mined
@@ -526,8 +519,6 @@ _SEVERE = "CASE WHEN distance > 1.5 * {t} THEN 'high' ELSE 'medium' END AS sever
 
 @query(sql(f"SELECT template_idx, template, round(distance, 6) AS distance, {_SEVERE.format(t=0.4)} FROM text_distances WHERE distance > 0.4", *_TFIDF))
 def semantic_anomalies_tfidf(spark, sf):
-    from logloom.operators.numbering import cut_lineage
-
     texts = I.doc_texts(spark, sf)
     weights = cut_lineage(E.tfidf(texts, I.STOP_WORDS), "weights")
     return rounded(E.semantic_anomalies(E.sparse_distances(weights, texts)), "distance")
