@@ -12,7 +12,7 @@ from logloom.plans import analyze as A
 from logloom.plans import reports as R
 from workload import inputs as I
 from workload.inputs import sql
-from workload.queries import _MODES, _PATTERNS, _PATTERN_COLUMNS, _SERIES, _STATS, _VECTORS, _burst_sql, _kind, query, rounded  # noqa: F401
+from workload.queries import _PATTERNS, _PATTERN_COLUMNS, _SERIES, _STATS, _VECTORS, _burst_sql, query, rounded  # noqa: F401
 
 _BURSTS = ("bursts", _burst_sql(600, 3))
 _SEMANTIC = ("semantic", "SELECT *, CASE WHEN distance > 1.2 THEN 'high' ELSE 'medium' END AS severity FROM distances WHERE distance > 0.8")
