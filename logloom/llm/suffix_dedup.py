@@ -20,7 +20,7 @@ LENGTH = 50
 # A window is known by the smallest hash of its grams of this many bytes.
 GRAM = 20
 # Bytes of text in one block of documents, and for one bucket of hashes.
-BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
 # Bytes that one suffix sort takes, if no single group is larger.
 SORT_BYTES = 1 << 20
 # Stretches with one hash beyond which their windows are spread over buckets by their own hash.

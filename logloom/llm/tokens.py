@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from logloom.llm.common import ragged
 
 # Entries that the two caches of one Python worker hold at most; they are emptied beyond it.
-CACHED_WORDS = 400_000
+CACHED_WORDS, CACHED_PIECES = 400_000, 250_000
 # Marks that compose with Latin letters; texts with them keep their case until the tokenizer lowers it.
 COMBINING = "[̀-ͯ]"
 
@@ -97,7 +97,7 @@ class TextEncoder:
         else:
             normal = self.tokenizer.normalizer.normalize_str(word)
             pieces = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
-        if len(self.pieces) > CACHED_WORDS:
+        if len(self.pieces) > CACHED_PIECES:
             self.pieces.clear()
         out = []
         for p in pieces:
