@@ -23,7 +23,10 @@ KINDS = ("assign", "access", "hex", "novel")
 # Words that make a string near them worth a measurement, and how far they reach (characters).
 CONTEXT = r"(?i)(passw|passphrase|secret|token|api.?key|credential|private.?key|access.?key|auth|bearer|signature|client.?id|connection.?string|pwd)"
 REACH = 80
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~.-]{16,200}")
+LEAST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=~.-]{{{LEAST},}}")
+# Characters of a candidate that are measured at a time; a longer one is reported whole if any of its blocks is novel.
+BLOCK = 200
 # Characters around a candidate that prime the compressor.
 AROUND = 512
 # A candidate is reported from this many marginal bytes per character on.
@@ -64,20 +67,42 @@ def _mixed(s: str) -> bool:
     return digits >= 3 and len(s) - digits >= 3 and len(set(s)) >= 8
 
 
+def blocks(s: str) -> list[str]:
+    """``s`` in blocks of ``BLOCK`` characters; the last one takes a rest too short for a measurement."""
+    cuts = [0, *range(BLOCK, len(s) - LEAST + 1, BLOCK), len(s)]
+    return [s[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def _covered(start: int, end: int, taken: list[tuple[int, int]]) -> bool:
+    """Whether the sorted spans leave no character between ``start`` and ``end``."""
+    for a, b in taken:
+        if a > start or start >= end:
+            break
+        start = max(start, b)
+    return start >= end
+
+
 def novel_spans(text: str, words: re.Pattern, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
-    """Candidates within reach of a sensitive word that overlap no base span and stay incompressible."""
+    """Candidates that begin within reach of a sensitive word, reach beyond the base spans and stay incompressible.
+
+    A candidate is a maximal run, whatever its length.
+    """
     out, done, taken = [], 0, sorted((s, e) for s, _, e in taken)
     for word in words.finditer(text):
-        for m in CANDIDATE.finditer(text, max(word.end(), done), word.end() + REACH):
+        limit = word.end() + REACH
+        for m in CANDIDATE.finditer(text, max(word.end(), done), limit + LEAST - 1):
+            if m.start() < done:
+                continue
             # The reach may end inside the string; take it whole.
             whole = CANDIDATE.match(text, m.start())
             start, end = whole.span()
-            done = max(done, end)
+            done = end
             s = whole[0]
-            if not _mixed(s) or any(a < end and start < b for a, b in taken):
+            if not _mixed(s) or _covered(start, end, taken):
                 continue
             around = text[max(0, start - AROUND) : start] + " " + text[end : end + AROUND]
-            novelty = marginal_bytes(s.encode(), IDENTIFIERS.encode() + around.encode("utf-8", "replace")) / len(s)
+            known = IDENTIFIERS.encode() + around.encode("utf-8", "replace")
+            novelty = max(marginal_bytes(b.encode(), known) / len(b) for b in blocks(s))
             if novelty >= NOVELTY:
                 out.append((start, 3, end, novelty))
     return out

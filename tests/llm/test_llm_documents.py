@@ -220,6 +220,22 @@ def test_novel_strings_in_sensitive_places(spark):
     assert marginal_bytes(secret.encode(), b"other words") > 2 * marginal_bytes(secret.encode(), b"other " + secret.encode())
 
 
+def test_long_strings_and_strings_around_base_spans_go_whole(spark):
+    rng = random.Random(4)
+    symbols = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = "".join(rng.choices(symbols, k=600))
+    mixed = f"{key[:30]}Z0123456789abcdef0Z{key[30:60]}"
+    late = key[100:140]
+    rows = [(1, f"Authorization: Bearer {key} end"), (2, f"credential {mixed} end"), (3, f"bearer {'word ' * 14}{late} end"), (4, f"bearer {'-' * 300}{key[:300]} end")]
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in scan_secrets(frame(spark, rows)).collect()}
+    assert got[1] == [("novel", 22, 622)]
+    assert [s[1:] for s in got[2] if s[0] == "novel"] == [(11, 11 + len(mixed))] and len(got[2]) == 2
+    assert got[3] == [("novel", rows[2][1].index(late), rows[2][1].index(late) + 40)]
+    assert got[4] == [("novel", 7, 607)]
+    kept = {r["doc_id"]: r["text"] for r in redact(frame(spark, rows)).collect()}
+    assert kept[1] == "Authorization: Bearer <secret> end" and kept[2] == "credential <secret> end" and kept[4] == "bearer <secret> end"
+
+
 def test_redaction(spark):
     rows = [(1, 'a token = "0123456789abcdef0123" b'), (2, None), (3, "clean"), (4, "")]
     assert [r["text"] for r in redact(frame(spark, rows)).orderBy("doc_id").collect()] == ["a <secret>\" b", None, "clean", ""]
