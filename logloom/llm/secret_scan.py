@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +32,9 @@ CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=~.-]{{{LEAST},}}")
 BLOCK = 200
 # Characters around a candidate that prime the compressor.
 AROUND = 512
-# A candidate is reported from this many marginal bytes per character on.
-NOVELTY = 0.9
+# A candidate is reported if its marginal bits, and its bits by letters in a row, are at least so many times the
+# bits of a random string of its alphabet.
+NOVELTY, UNWORDED = 1.0, 1.1
 # Names and words that a secret is not made of; they prime the compressor before the surroundings do.
 IDENTIFIERS = (
     "password secret token api_key apikey access_key client_id client_secret authorization bearer basic username localhost example.com"
@@ -40,6 +44,25 @@ IDENTIFIERS = (
     " abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 1234567890 0000000000000000 ---------------- ================ ________________"
     " your_api_key_here insert_token_here placeholder changeme xxxxxxxxxxxxxxxx test example sample dummy version release build master main"
 )
+# Common words, joined by nothing or by signs in names, paths and the like; only their letters in a row count.
+WORDS = (
+    " the of and to in is that for it with as was on be at by this have from or one had not but what all were when we there can an your which"
+    " their said if do will each about how up out them then she many some so these would other into has more her two like him see time could"
+    " no make than first been its who now people my made over did down only way find use may water long little very after words called just"
+    " where most know get through back much before go good new write our used me man too any day same right look think also around another"
+    " came come work three word must because does part even place well such here take why things help put years different away again off went"
+    " old number great tell men say small every found still between name should home big give air line set own under read last never us left"
+    " end along while might next sound below saw something thought both few those always looked show large often together asked house world"
+    " going want school important until form food keep children feet land side without boy once animals life enough took sometimes four head"
+    " above kind began almost live page got earth need far hand high year mother light country father let night following picture being study"
+    " second eyes soon times story boys since white days ever paper hard near sentence better best across during today others however sure"
+    " means knew try told young miles sun ways thing whole hear example heard several change answer room sea against top turned learn point"
+    " city play toward five using himself usually money seen car morning library local python packages service factory project framework"
+    " security spring element class manager handler controller provider repository implementation interface abstract exception error message"
+    " module package component template context property attribute parameter option setting process thread memory buffer stream network"
+    " socket protocol filter format parser builder loader writer reader update delete create insert select query table column index usr lib"
+    " bin var log sys etc tmp src dist node modules java com org net api users orders v1 v2 tar gz zip json xml yaml txt pdf png jpg html"
+)
 SPAN = "struct<kind:string,start:int,end:int,novelty:double>"
 
 
@@ -62,9 +85,65 @@ def marginal_bytes(candidate: bytes, known: bytes) -> int:
     return len(packer.compress(candidate)) - len(packer.compress(b""))
 
 
-def _mixed(s: str) -> bool:
-    digits = sum(c.isdigit() for c in s)
-    return digits >= 3 and len(s) - digits >= 3 and len(set(s)) >= 8
+def alphabet_bits(s: str) -> float:
+    """Bits per character of a random string over the classes of characters that ``s`` has."""
+    if s.isdigit():
+        return math.log2(10)
+    if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", s):
+        return 4.0
+    if re.fullmatch(r"(?=.*[2-7])([A-Z2-7]+|[a-z2-7]+)=*", s):
+        return 5.0
+    classes = sum(n for p, n in ((r"[a-z]", 26), (r"[A-Z]", 26), (r"[0-9]", 10)) if re.search(p, s))
+    # A few signs alone make no random string.
+    return math.log2(max(16, classes + len(set(re.findall(r"[^A-Za-z0-9]", s)))))
+
+
+class Letters:
+    """Counts of one, two and three characters in a row (case folded), and how often and before how many others each context stands."""
+
+    def __init__(self, text: str, base: Letters | None = None) -> None:
+        text = text.lower()
+        self.base = base
+        self.grams = Counter(text) + Counter(map("".join, zip(text, text[1:], strict=False))) + Counter(map("".join, zip(text, text[1:], text[2:], strict=False)))
+        self.after: Counter = Counter()
+        self.kinds: Counter = Counter()
+        for gram, n in self.grams.items():
+            self.after[gram[:-1]] += n
+            self.kinds[gram[:-1]] += base is None or gram not in base.grams
+
+    def of(self, table: str, key: str) -> int:
+        return getattr(self, table)[key] + (getattr(self.base, table)[key] if self.base else 0)
+
+    def bits(self, s: str) -> float:
+        """Code length of ``s`` under these counts (interpolated), and of where its letters change case."""
+        out, padded = 0.0, "  " + s.lower()
+        for i in range(2, len(padded)):
+            p = 1 / 64
+            for context in ("", padded[i - 1], padded[i - 2 : i]):
+                kinds = max(self.of("kinds", context), 1)
+                p = (self.of("grams", context + padded[i]) + kinds * p) / (self.of("after", context) + kinds)
+            out -= math.log2(p)
+        upper = [c.isupper() for c in s if c.isalpha()]
+        if any(upper):
+            changes = [0, 0]
+            for a, b in zip(upper, upper[1:], strict=False):
+                out -= math.log2((changes[a != b] + 0.5) / (sum(changes) + 1))
+                changes[a != b] += 1
+        return out
+
+
+@functools.cache
+def known_letters() -> Letters:
+    return Letters(IDENTIFIERS + WORDS)
+
+
+def novelty_of(s: str, around: str) -> float | None:
+    """Marginal bytes per character of a block, or none if its surroundings, known names or common words explain it."""
+    random_bits = alphabet_bits(s) * len(s)
+    size = marginal_bytes(s.encode(), IDENTIFIERS.encode() + around.encode("utf-8", "replace"))
+    if size * 8 < NOVELTY * random_bits or Letters(around, known_letters()).bits(s) < UNWORDED * random_bits:
+        return None
+    return size / len(s)
 
 
 def blocks(s: str) -> list[str]:
@@ -98,13 +177,12 @@ def novel_spans(text: str, words: re.Pattern, taken: list[tuple[int, int, int]])
             start, end = whole.span()
             done = end
             s = whole[0]
-            if not _mixed(s) or _covered(start, end, taken):
+            if _covered(start, end, taken):
                 continue
             around = text[max(0, start - AROUND) : start] + " " + text[end : end + AROUND]
-            known = IDENTIFIERS.encode() + around.encode("utf-8", "replace")
-            novelty = max(marginal_bytes(b.encode(), known) / len(b) for b in blocks(s))
-            if novelty >= NOVELTY:
-                out.append((start, 3, end, novelty))
+            measured = [n for n in (novelty_of(b, around) for b in blocks(s)) if n is not None]
+            if measured:
+                out.append((start, 3, end, max(measured)))
     return out
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from logloom.llm import language_id, lm_score, queries, simhash, suffix_dedup
 from logloom.llm.language_id import fit, gradients, identify, labelled, new_network, pooled, states, windows_of
 from logloom.llm.lm_score import SYMBOLS, Model, loss_tables, score_documents
-from logloom.llm.secret_scan import marginal_bytes, redact, redact_text, scan_secrets
+from logloom.llm.secret_scan import blocks, marginal_bytes, novelty_of, redact, redact_text, scan_secrets
 from logloom.llm.suffix_dedup import least_owner, remove_repeats
 
 SMALL = "/root/testdata/sf0.001"
@@ -236,6 +236,20 @@ def test_long_strings_and_strings_around_base_spans_go_whole(spark):
     assert kept[1] == "Authorization: Bearer <secret> end" and kept[2] == "credential <secret> end" and kept[4] == "bearer <secret> end"
 
 
+@pytest.mark.parametrize("symbols", ["0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz0123456789", "base64", "0123456789"])
+def test_random_strings_of_every_alphabet_and_length_are_novel(symbols):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    symbols = letters + letters.upper() + "0123456789+/" if symbols == "base64" else symbols
+    rng = random.Random(5)
+    prose = "He said that the other number was written down and that nobody had looked at the paper since then. " * 5
+    for n in (16, 20, 32, 64, 100, 150, 200, 450):
+        for _ in range(20):
+            s = "".join(rng.choices(symbols, k=n))
+            assert any(novelty_of(b, prose) is not None for b in blocks(s)), s
+    for s in ("AuthenticationManagerBuilder", "/usr/local/lib/python3.11/site-packages/requests", "correct-horse-battery-staple", "MAX_RETRY_COUNT_DEFAULT", "-" * 40, "=-" * 20):
+        assert all(novelty_of(b, prose) is None for b in blocks(s)), s
+
+
 def test_redaction(spark):
     rows = [(1, 'a token = "0123456789abcdef0123" b'), (2, None), (3, "clean"), (4, "")]
     assert [r["text"] for r in redact(frame(spark, rows)).orderBy("doc_id").collect()] == ["a <secret>\" b", None, "clean", ""]
