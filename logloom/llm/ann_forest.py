@@ -16,6 +16,8 @@ from logloom.operators.numbering import cut_lineage
 TREES, BITS = 96, 48
 # The trees are ascended together until a query has met this share of a shard, and at least so many rows.
 SHARE, LEAST = 0.45, 1000
+# Largest norm over smallest of one range of rows: a forest lifts its rows by the largest norm of its own range.
+NORM_STEP = 1.25
 # Rows of one shard, and queries that pass one copy of it; every query visits every shard.
 SHARD_ROWS, QUERY_ROWS = 65_536, 65_536
 # Queries of one shard that are answered at a time.
@@ -23,7 +25,7 @@ QUERY_STEP = 256
 
 
 class Forest:
-    """The forest of one shard.
+    """The forest of the rows of one range of norms.
 
     Each tree is an array of hash strings (integers of ``BITS`` sign bits) in sorted order. The
     rows whose strings share the first d bits with a query's are a range of that array, and
@@ -82,13 +84,41 @@ class Forest:
                 best = max(best, int(common.max()))
         return min(best, BITS)
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, share: float, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+
+class Shard:
+    """The rows of one shard in ranges of norms, with a forest for each range.
+
+    Lifted by a norm far above their own, rows point the same way and their strings do not tell
+    them apart, so a few large vectors must not lift all others. Every range is ascended until
+    the share of it, and at least so many rows, are met; smaller ranges are met whole.
+    """
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, trees: int, seed: int, share: float, least: int) -> None:
+        self.ids, self.vectors = ids, vectors
+        norms = np.sqrt((vectors * vectors).sum(axis=1))
+        # Steps are counted down from the largest norm, so rows of equal norm are one range.
+        steps = np.floor(np.log(norms.max() / norms) / np.log(NORM_STEP) + 1e-9)
+        self.whole, self.forests = np.zeros(len(ids), bool), []
+        for step in np.unique(steps):
+            rows = np.flatnonzero(steps == step)
+            wanted = max(least, int(share * len(rows)))
+            if len(rows) <= wanted:
+                self.whole[rows] = True
+            else:
+                self.forests.append((rows, wanted, Forest(ids[rows], vectors[rows], float(norms[rows].max()), trees, seed)))
+
+    def candidates(self, queries: np.ndarray) -> np.ndarray:
+        met = np.repeat(self.whole[None, :], len(queries), axis=0)
+        for rows, wanted, forest in self.forests:
+            met[:, rows] = forest.candidates(queries, wanted)
+        return met
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Query ids, row ids and inner products of the best ``k`` candidates, a step of queries at a time."""
-        wanted = min(len(self.ids), max(least, int(share * len(self.ids))))
         for at in range(0, len(queries), QUERY_STEP):
             part = queries[at : at + QUERY_STEP]
             score = part @ self.vectors.T
-            score[~self.candidates(part, wanted)] = -np.inf
+            score[~self.candidates(part)] = -np.inf
             score[query_ids[at : at + QUERY_STEP, None] == self.ids[None, :]] = -np.inf
             for q, row in zip(query_ids[at : at + QUERY_STEP], score, strict=True):
                 good = np.flatnonzero(row > -np.inf)
@@ -121,14 +151,14 @@ def nearest_by_product(
     shards of about ``shard_rows`` by a hash of the id, queries into parts of about ``query_rows``. A
     task builds the forest of one shard, and one part of the queries streams past it, so a
     task is bounded whatever the table. A query thus meets at least ``share`` of
-    the rows or ``least`` of each shard. Null, zero or non-finite vectors, and null ids, take no
+    the rows and ``least`` rows of each range of norms of each shard. Null, zero or non-finite vectors, and null ids, take no
     part. Rows with one id are one candidate; the nearest of them counts.
     """
     rows = cut_lineage(valid_vectors(vectors, id_col, vector_col).filter("_id is not null"), "vectors")
     dimension(rows)
-    norm, count = rows.select(F.max(F.sqrt(F.aggregate("_v", F.lit(0.0), lambda s, x: s + x * x))), F.count(F.lit(1))).first()
+    count = rows.count()
     schema = "query_id bigint, vec_id bigint, score double"
-    shards = max(1, -(-(count or 0) // shard_rows))
+    shards = max(1, -(-count // shard_rows))
     asked = rows.filter(is_query(F.col("_id")))
     parts = max(1, -(-asked.count() // query_rows))
     dealt = lambda n: F.pmod(F.xxhash64("_id"), F.lit(n)).cast("int")
@@ -154,9 +184,9 @@ def nearest_by_product(
                 if forest is None:
                     if not ids:
                         continue
-                    forest = Forest(np.concatenate(ids), np.concatenate(parts), norm, trees, seed)
+                    forest = Shard(np.concatenate(ids), np.concatenate(parts), trees, seed, share, least)
                     ids, parts = [], []
-                for q, v, s in forest.search(own, own_vectors, k, share, least):
+                for q, v, s in forest.search(own, own_vectors, k):
                     if len(q):
                         yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s)], names=["query_id", "vec_id", "score"])
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from logloom.llm import embedding_dedup, queries
-from logloom.llm.ann_forest import Forest, nearest_by_product
+from logloom.llm.ann_forest import LEAST, SHARE, TREES, Forest, Shard, nearest_by_product
 from logloom.llm.embedding_dedup import near_duplicate_vectors, passes_needed, window_links
 
 SMALL = "/root/testdata/sf0.001"
@@ -106,6 +106,21 @@ def test_nearest_recall_on_several_shards(spark, shard_rows, query_rows):
         assert abs(r["score"] - vectors[r["query_id"]] @ vectors[r["vec_id"]]) < 1e-9 and r["query_id"] != r["vec_id"]
 
 
+@pytest.mark.parametrize("norms", ["one", "outlier", "lognormal 0.5", "lognormal 1"])
+def test_recall_does_not_fall_with_uneven_norms(norms):
+    rng = np.random.default_rng(6)
+    unit = rng.normal(size=(10_000, 64))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    size = np.ones(len(unit)) if norms in ("one", "outlier") else np.exp(rng.normal(size=len(unit)) * float(norms.split()[1]))
+    size[77] *= 2 if norms == "outlier" else 1
+    vectors, asked = unit * size[:, None], np.arange(0, 10_000, 200)
+    found = Shard(np.arange(10_000), vectors, TREES, 23, SHARE, LEAST).search(asked, vectors[asked], 20)
+    score = vectors[asked] @ vectors.T
+    score[np.arange(len(asked)), asked] = -np.inf
+    want = [set(row.tolist()) for row in np.argsort(-score, axis=1)[:, :20]]
+    assert np.mean([len(w & set(v.tolist())) / 20 for w, (_, v, _) in zip(want, found, strict=True)]) >= 0.95
+
+
 def test_nearest_query(spark):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").collect()]
     got = queries.op3_ann_forest(spark, SMALL).collect()
