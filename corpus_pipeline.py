@@ -25,9 +25,11 @@ LEAST_SCORE = 0.5
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or of no language the network can tell, go."""
+    """Documents without letters, or of no language the network can tell, go; without a label to learn from, only the former."""
     ship(spark)
     net = fit(docs, ~held_out())
+    if net is None:
+        return docs.filter(docs["text"].rlike(r"\p{L}"))
     told = docs.select(F.struct("*").alias("row"), language_column(net, docs["text"]).alias("told"))
     return told.filter((F.col("told.lang") != UNDECIDED) & (F.col("told.score") >= LEAST_SCORE)).select("row.*")
 

@@ -19,8 +19,8 @@ WINDOW = 64
 # Windows that go through the network at a time.
 BATCH = 2048
 HIDDEN = 8
-# Bounds of the training sample: languages, texts of each, bytes of a text.
-MOST_LANGUAGES, SAMPLE_TEXTS, SAMPLE_CHARS = 64, 400, 512
+# Bounds of the training sample: texts of a language, characters of a text, and rows at which languages get fewer texts each.
+SAMPLE_TEXTS, SAMPLE_CHARS, MOST_ROWS = 400, 512, 25_600
 TRAINING_STEPS, TRAINING_BATCH, RATE = 300, 192, 0.02
 
 
@@ -254,9 +254,9 @@ def fit(docs: DataFrame, allowed: Column, *, id_col: str = "doc_id", text_col: s
     """Train on a bounded sample of the rows that ``allowed`` marks and that have text and language.
 
     At most ``SAMPLE_TEXTS`` rows of each language, the first by a hash of id and text, with one
-    stretch of ``SAMPLE_CHARS`` characters from a place that the same hash picks, and at most
-    ``MOST_LANGUAGES`` languages (the first by name). The rank limit is applied before
-    the shuffle, so no language gathers in one task.
+    stretch of ``SAMPLE_CHARS`` characters from a place that the same hash picks. Every language is
+    learned: where all together are over ``MOST_ROWS`` rows, each has fewer, one at least. The rank
+    limit is applied before the shuffle, so no language gathers in one task.
     """
     rows = docs.filter(allowed & docs[text_col].isNotNull() & docs[lang_col].isNotNull()).select(
         F.xxhash64(docs[id_col], docs[text_col]).alias("_h"), docs[text_col].alias("_text"), docs[lang_col].cast("string").alias("_lang")
@@ -264,7 +264,10 @@ def fit(docs: DataFrame, allowed: Column, *, id_col: str = "doc_id", text_col: s
     place = F.pmod("_h", F.greatest(F.length("_text") - SAMPLE_CHARS + 1, F.lit(1))).cast("int") + 1
     part = rows.select("_h", "_lang", F.col("_text").substr(place, F.lit(SAMPLE_CHARS)).alias("_text")).filter(F.col("_text").rlike(r"\p{L}"))
     ranked = part.withColumn("_r", F.row_number().over(Window.partitionBy("_lang").orderBy("_h", "_text"))).filter(F.col("_r") <= SAMPLE_TEXTS)
-    sample = ranked.orderBy("_lang", "_r").limit(MOST_LANGUAGES * SAMPLE_TEXTS).select("_text", "_lang").collect()
+    sample = ranked.orderBy("_r", "_lang").limit(MOST_ROWS).select("_r", "_text", "_lang").collect()
+    if len(sample) == MOST_ROWS and sample[-1]["_r"] == 1:  # more languages than rows
+        sample = ranked.filter("_r = 1").select("_r", "_text", "_lang").collect()
+    sample.sort(key=lambda r: (r["_lang"], r["_r"]))
     return train([r["_text"].encode() for r in sample], [r["_lang"] for r in sample])
 
 

@@ -317,6 +317,19 @@ def test_language_odd_rows(spark, docs, monkeypatch):
     assert identify(spark.createDataFrame([], NOTHING), net).collect() == []
 
 
+@pytest.mark.parametrize("most_rows", [160, 50])
+def test_every_language_is_learned(spark, monkeypatch, most_rows):
+    monkeypatch.setattr(language_id, "TRAINING_STEPS", 2)
+    monkeypatch.setattr(language_id, "SAMPLE_TEXTS", 3)
+    monkeypatch.setattr(language_id, "MOST_ROWS", most_rows, raising=False)
+    taken = []
+    monkeypatch.setattr(language_id, "train", lambda texts, labels: taken.extend(labels) or new_network(sorted(set(labels))))
+    names = [f"l{k:02}" for k in range(70)]
+    rows = [(70 * i + k, f"text {i} of {n}", n, None, None) for i in range(5) for k, n in enumerate(names)]
+    net = fit(spark.createDataFrame(rows, NOTHING), F.lit(True))
+    assert net.languages == names and len(taken) == max(most_rows, 70)
+
+
 # ---------------------------------------------------------------- model scores
 
 

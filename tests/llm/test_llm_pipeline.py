@@ -77,3 +77,9 @@ def test_stages_on_odd_rows_and_none(spark):
     assert clean[7] == "<secret> the and of" and clean[1] is None
     cut = corpus_pipeline.drop_repeated_passages(spark, odd, SMALL).collect()
     assert len(cut) == len(rows) and sum(r["text"] is None for r in cut) == 1
+
+
+def test_language_stage_keeps_lettered_texts_if_nothing_is_labelled(spark):
+    rows = [(1, "some words", None, "s", 10), (2, "12 34", None, "s", 5), (3, None, None, "s", 0), (4, "é", None, "s", 1)]
+    kept = corpus_pipeline.keep_known_language(spark, spark.createDataFrame(rows, COLUMNS), SMALL).collect()
+    assert {r["doc_id"] for r in kept} == {1, 4}
