@@ -14,8 +14,12 @@ from logloom.llm.byte_bpe import decode_documents, encode_documents
 from logloom.llm.common import table
 from logloom.llm.embedding_dedup import near_duplicate_vectors
 from logloom.llm.language_id import fit, identify
+from logloom.llm.lexical_search import search
+from logloom.llm.license_scan import scan_licenses
 from logloom.llm.lm_score import score_documents
+from logloom.llm.oracle import ORACLE  # noqa: F401
 from logloom.llm.packing import pack_documents
+from logloom.llm.resampling import resample
 from logloom.llm.secret_scan import listed, scan_secrets
 from logloom.llm.simhash import near_duplicates
 from logloom.llm.suffix_dedup import remove_repeats
@@ -88,6 +92,37 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["exact"])
+    start = F.transform(base, lambda s: s["first_word"])
+
+    def labels(spans: F.Column) -> F.Column:
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+
+    share = F.transform("spans", lambda s: F.lit(1.0) - s["edits"] / F.length(s["notice"]))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("bigint").alias("n_base"),
+        F.array_min(start).alias("first_word"),
+        F.array_max(start).alias("last_word"),
+        labels(base).alias("base_labels"),
+        labels(F.col("spans")).alias("labels"),
+        F.coalesce(F.array_max(share), F.lit(0.0)).alias("score"),
+        F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["label"], s["start"], s["end"], s["edits"])), ",").alias("spans"),
+    )
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), longest_run=1, buckets=10_000, percent=10, least_words=20, seed=2024)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_packing": op2_packing,
@@ -99,5 +134,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_score": op8_lm_score,
     "op9_language_id": op9_language_id,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_license_scan": op12_license_scan,
+    "op13_importance_resampling": op13_importance_resampling,
 }
-ORACLE: dict[str, str] = {}
