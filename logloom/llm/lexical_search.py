@@ -16,13 +16,15 @@ from logloom.llm.words import Words, equal_bytes, hash_of, words_of
 from logloom.operators.numbering import cut_lineage
 
 # A document's sketch has so many cells for each of its distinct terms; a term is written to and read from so many of them.
-CELLS, COPIES = 10, 4
+CELLS, COPIES = 16, 6
+# The threshold comes from so many times k documents of each item, those with the highest bounds.
+SEEDS = 4
 # An impact is below 1,000,000; a cell holds it in steps of 4096, rounded up.
 STEP_BITS = 12
 # Items, and distinct terms of them, that are searched in one pass; more items take further passes.
 BLOCK_ITEMS, BLOCK_TERMS = 2_000, 100_000
 # Bytes of text or sketches, cells and scores that a task works on at a time.
-SCORED_BYTES, LOOKUPS, SCORES = 2 << 20, 1 << 20, 1 << 21
+SCORED_BYTES, LOOKUPS, SCORES = 2 << 20, 1 << 18, 1 << 21
 INDEX = "doc_id bigint, n_terms bigint, sketch binary, text binary"
 
 
@@ -105,24 +107,29 @@ class Queries:
     def bounds(self, sketches: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Upper bounds of the scores, from the sketches ``sketches[ends[i]:ends[i + 1]]`` alone."""
         texts, out = len(ends) - 1, []
+        mixed = [mix(self.hashes, copy) for copy in range(COPIES)]
         rows = max(1, LOOKUPS // max(1, len(self.terms)))
         for at in range(0, texts, rows):
             begin, cells = ends[at : at + rows + 1][:-1], np.diff(ends[at : at + rows + 1])
-            text = np.repeat(np.arange(len(begin)), len(self.terms))
-            term = np.tile(np.arange(len(self.terms)), len(begin))
-            least = np.full(len(text), 255, np.uint8)
-            for copy in range(COPIES):  # most terms are absent, and most of those leave at the first copy
-                least = np.minimum(least, sketches[begin[text] + cell_of(self.hashes[term], cells[text], copy)])
+            first = sketches[begin[:, None] + cell_of(mixed[0], cells[:, None])]
+            text, term = np.nonzero(first)
+            least = first[text, term]
+            for copy in range(1, COPIES):  # most terms are absent, and most of those have left by now
+                least = np.minimum(least, sketches[begin[text] + cell_of(mixed[copy][term], cells[text])])
                 left = np.flatnonzero(least)
                 text, term, least = text[left], term[left], least[left]
             out.append(self.summed(len(begin), text, term, least.astype(np.int64) << STEP_BITS))
         return np.concatenate(out) if out else np.zeros((0, len(self.items)), np.int64)
 
 
-def cell_of(hashes: np.ndarray, cells: np.ndarray, copy: int) -> np.ndarray:
-    """The cell of each hash in a sketch of ``cells`` cells, for one copy."""
+def mix(hashes: np.ndarray, copy: int) -> np.ndarray:
+    """32 bits of each hash that tell its cell in one copy."""
     low, high = hashes & np.uint64(0xFFFFFFFF), hashes >> np.uint64(32) | np.uint64(1)
-    mixed = (low + np.uint64(copy) * high) & np.uint64(0xFFFFFFFF)
+    return (low + np.uint64(copy) * high) & np.uint64(0xFFFFFFFF)
+
+
+def cell_of(mixed: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """The cell in a sketch of ``cells`` cells."""
     return (mixed * cells.astype(np.uint64) >> np.uint64(32)).astype(np.int64)
 
 
@@ -142,7 +149,7 @@ def sketch(words: Words, corpus: Corpus) -> tuple[np.ndarray, np.ndarray]:
     ends = np.concatenate([[0], np.cumsum(cells)])
     out = np.zeros(ends[-1], np.uint8)
     for copy in range(COPIES):
-        np.maximum.at(out, ends[owner] + cell_of(hashes, cells[owner], copy), impact)
+        np.maximum.at(out, ends[owner] + cell_of(mix(hashes, copy), cells[owner]), impact)
     return out, ends
 
 
@@ -164,12 +171,13 @@ def corpus_statistics(docs: DataFrame, *, text_col: str = "text") -> Corpus:
 def build_index(docs: DataFrame, corpus: Corpus, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_terms, sketch, text, _row`` of every document with a term, numbered; written to the shared folder.
 
-    A sketch has ten cells for each distinct term; every term's impact is folded into four of them, a
-    cell keeping the largest. The least of a term's four cells is never below its impact.
+    A sketch has 16 cells for each distinct term; every term's impact is folded into six of them, a
+    cell keeping the largest. The least of a term's six cells is never below its impact, and 0 for all but one
+    in a thousand terms that the document lacks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
+        for batch in steps(batches, limit=SCORED_BYTES):
             words = words_of(*joined_bytes(batch.column("_text")))
             flat, ends = sketch(words, corpus)
             sketches = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(flat)])
@@ -188,7 +196,7 @@ def document_frequency(index: DataFrame, queries: Queries) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(queries.terms), np.int64)
-        for batch in steps(batches, "text"):
+        for batch in steps(batches, "text", SCORED_BYTES):
             total += np.bincount(queries.counted(words_of(*joined_bytes(batch.column("text"))))[1], minlength=len(total))
         met = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(total[met])], names=["term", "n"])
@@ -249,7 +257,7 @@ def _table_of(best: Best, names: list[str]) -> pa.RecordBatch:
 def _thresholds(index: DataFrame, queries: Queries, corpus: Corpus, k: int) -> np.ndarray:
     """A score that k documents reach, for every item: the k-th exact score of those with the highest bounds, else 1."""
     order = Window.partitionBy("item").orderBy(F.desc("bound"), "_row")
-    first = _largest_bounds(index, queries, k).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k)
+    first = _largest_bounds(index, queries, SEEDS * k).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= SEEDS * k)
     chosen = first.select("_row").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +269,7 @@ def _thresholds(index: DataFrame, queries: Queries, corpus: Corpus, k: int) -> n
                 best.add(item, scores[held, item], held.tolist())
         yield _table_of(best, ["item", "_row", "score"])
 
-    # k rows for every item of the block at most.
+    # SEEDS * k rows for every item of the block at most.
     texts = index.select("_row", "text").join(F.broadcast(chosen), "_row").select("text")
     kept = texts.mapInArrow(run, "item bigint, _row bigint, score bigint")
     order = Window.partitionBy("item").orderBy(F.desc("score"))
