@@ -11,8 +11,9 @@ That looks sequential, but three facts make it a Spark job with the same result:
 * Templates only lose words. An array that its first accepting cluster already
   covers will join it whatever comes before its turn, so it leaves at once.
 
-Each round mines a bounded batch per block, then drops all arrays that the new
-clusters cover, in parallel.
+Each round mines a bounded batch per block. An inverted index then joins the arrays that are left to
+the new and changed clusters: what its oldest taker covers leaves, and what takers remain is
+all that the next batch of a block needs to know.
 """
 
 from __future__ import annotations
@@ -30,10 +31,11 @@ from logloom.operators.components import connected_components
 from logloom.operators.numbering import cut_lineage, dense_number
 
 BATCH = 20_000  # distinct arrays mined in order by one task and round
-COVER_ROWS = 10_000  # arrays tested against the clusters by one task
-SPLIT_AFTER = 2  # rounds before what is left is cut into components
+SPLIT_AFTER = 1  # rounds before what is left is cut into components, after each further round
+MASKS = 16  # sets of positions per length that have index keys of their own
+# A message with more than this share of all lines is joined where its lines are; so many of them, of so many characters, at most.
+FREQUENT_SHARE, MOST_FREQUENT, FREQUENT_CHARS = 0.001, 1000, 2000
 
-_TESTED = "n_tok int, block bigint, salt bigint, first_line bigint, tokens array<string>, founder bigint"
 _MINED = "n_tok int, block bigint, kind string, id bigint, founder bigint, tokens array<string>"
 
 
@@ -133,7 +135,7 @@ def _mine_batch(threshold: float):
     def mine(key: tuple, batch: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         n_tok, block = int(key[0]), int(key[1])
         known = known.sort_values("founder")
-        clusters = _Clusters(n_tok, threshold, known["founder"].tolist(), known["tokens"])
+        clusters = _Clusters(n_tok, threshold, known["founder"].tolist(), known["state"])
         rows = []
         batch = batch.sort_values("first_line")
         for line, tokens in zip(batch["first_line"].tolist(), batch["tokens"]):
@@ -149,8 +151,6 @@ def _mine_batch(threshold: float):
             rows.append((n_tok, block, "member", line, founder, None))
             if changed:
                 rows.append((n_tok, block, "version", line, founder, clusters.decode(i)))
-        if len(batch):
-            rows.append((n_tok, block, "end", int(batch["first_line"].iloc[-1]), 0, None))
         return pd.DataFrame(rows, columns=["n_tok", "block", "kind", "id", "founder", "tokens"])
 
     return mine
@@ -158,7 +158,7 @@ def _mine_batch(threshold: float):
 
 def _mine_first(threshold: float):
     mine = _mine_batch(threshold)
-    nothing = pd.DataFrame({"founder": pd.Series([], dtype="int64"), "tokens": pd.Series([], dtype="object")})
+    nothing = pd.DataFrame({"founder": pd.Series([], dtype="int64"), "state": pd.Series([], dtype="object")})
 
     def first(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
         return mine(key, batch, nothing)
@@ -166,41 +166,11 @@ def _mine_first(threshold: float):
     return first
 
 
-def _cover(threshold: float):
-    def cover(key: tuple, arrays: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        n_tok = int(key[0])
-        ends = known.loc[known["kind"] == "end", "id"]
-        if len(ends):
-            arrays = arrays[arrays["first_line"] > ends.max()]
-        known = known[known["kind"] == "version"].sort_values("founder")
-        clusters = _Clusters(n_tok, threshold, known["founder"].tolist(), known["tokens"])
-        home = pd.array([pd.NA] * len(arrays), dtype="Int64")
-        if not len(arrays) or not clusters.size:
-            return arrays.assign(founder=home)
-        x = np.stack([clusters.encode(t, -2) for t in arrays["tokens"]])
-        open_rows = np.arange(len(arrays))
-        for i in range(clusters.size):
-            column = clusters.grid[:, i]
-            apart = (x[open_rows] != column).sum(axis=1)
-            hit = clusters.fits[apart]
-            if not hit.any():
-                continue
-            covered = hit & (apart == (column < 0).sum())
-            home[open_rows[covered]] = clusters.founders[i]
-            # Accepted but not covered: the template would change, so it waits its turn.
-            open_rows = open_rows[~hit]
-            if not len(open_rows):
-                break
-        return arrays.assign(founder=home)
-
-    return cover
-
-
 @dataclass
 class MinedTemplates:
     """Result of the mining, as DataFrames.
 
-    ``assignments(tokens, event_id)`` holds each distinct token array once;
+    ``assignments(tokens, token_hash, rows, event_id)`` holds each distinct token array once;
     ``versions(event_id, valid_from, template)`` each template state with the line
     from which it holds; ``lone(line, event_id)`` the rows that are their own event, if any.
     """
@@ -212,64 +182,106 @@ class MinedTemplates:
     rounds: int
 
 
-def _segments(tokens: Column, n: Column, m: Column) -> Column:
-    """Hashes of the ``m + 1`` position segments of a token array."""
-    parts = m + 1
-    return F.transform(
-        F.sequence(F.lit(0), m),
-        lambda s: F.xxhash64(
-            n,
-            s,
-            F.slice(
-                tokens,
-                (F.floor(s * n / parts) + 1).cast("int"),
-                (F.floor((s + 1) * n / parts) - F.floor(s * n / parts)).cast("int"),
-            ),
-        ),
-    )
+def _fixed(tokens: Column) -> Column:
+    """Positions, from 0, of the words that are no wildcard."""
+    return F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: F.element_at(tokens, i + 1) != WILDCARD)
+
 
+def _part_keys(tokens: Column, positions: Column, parts: Column, mask: Column) -> Column:
+    """A hash of the words in each of ``parts`` stretches of ``positions``; null for a stretch with a wildcard."""
+    n, size = F.size(tokens), F.size(positions)
 
-def _component_blocks(arrays: DataFrame, threshold: float, batch: int) -> DataFrame:
-    """``(first_line, new_block)`` so that arrays of different blocks can never share a cluster.
+    def key(s: Column) -> Column:
+        low, high = F.floor(s * size / parts), F.floor((s + 1) * size / parts)
+        stretch = F.slice(positions, (low + 1).cast("int"), (high - low).cast("int"))
+        words = F.transform(stretch, lambda p: F.element_at(tokens, p + 1))
+        return F.when(~F.array_contains(words, WILDCARD), F.xxhash64(n, mask, s, words))
 
-    Components are hashed into about as many blocks per length as there are batches;
-    a hash that joins two components costs time, not correctness.
+    return F.transform(F.sequence(F.lit(0), parts - 1), key)
+
+
+def _segment_keys(tokens: Column, threshold: float) -> Column:
+    """The keys of all positions cut in one part more than may differ: who accepts an array has one of its keys."""
+    n = F.size(tokens)
+    return _part_keys(tokens, F.sequence(F.lit(0), n - 1), tolerated(n, threshold) + 1, F.lit(0).cast("bigint"))
+
+
+def accepting(arrays: DataFrame, states: DataFrame, threshold: float, masks: int = MASKS) -> DataFrame:
+    """``(first_line, founder, covered)``: every array with each cluster whose state would take it.
+
+    ``arrays(n_tok, first_line, tokens)`` meet ``states(n_tok, founder, tokens)`` through an inverted
+    index. A state with k wildcards may still lose m - k words, so its other positions are
+    cut into m - k + 1 parts, one of which an array must match whole; a state that has lost all it may
+    is one key. The ``masks`` most frequent sets of such positions of a length have keys of
+    their own; the rest share the keys of all positions. Keys only propose pairs, the words decide.
+    ``covered`` arrays would not change the state.
     """
-    keys = arrays.select(
-        "first_line",
-        F.explode(_segments(F.col("tokens"), F.col("n_tok"), tolerated(F.col("n_tok"), threshold))).alias("segment"),
-    )
-    hubs = keys.groupBy("segment").agg(F.min("first_line").alias("hub"))
-    edges = keys.join(hubs, "segment").select(F.col("first_line").alias("u"), F.col("hub").alias("v"))
+    n, m = F.col("n_tok"), tolerated(F.col("n_tok"), threshold)
+    shaped = states.select("n_tok", "founder", "tokens", _fixed(F.col("tokens")).alias("fixed"))
+    shaped = shaped.withColumns({"mask": F.xxhash64("fixed"), "parts": m - n + F.size("fixed") + 1})
+    by_use = Window.partitionBy("n_tok").orderBy(F.desc("uses"), "mask")
+    used = shaped.groupBy("n_tok", "mask").agg(F.count(F.lit(1)).alias("uses"), F.first("fixed").alias("fixed"), F.first("parts").alias("parts"))
+    ranked = used.withColumn("rank", F.row_number().over(by_use)).filter(F.col("rank") <= masks + 1)
+    # At most ``masks`` entries in a list.
+    own = F.when(F.col("rank") <= masks, F.struct("mask", "fixed", "parts"))
+    lists = ranked.groupBy("n_tok").agg(F.collect_list(own).alias("shapes"), (F.max("rank") > masks).alias("more"))
+    known = F.exists("shapes", lambda s: s["mask"] == F.col("mask"))
+    state_keys = F.when(known, _part_keys(F.col("tokens"), F.col("fixed"), F.col("parts"), F.col("mask"))).otherwise(_segment_keys(F.col("tokens"), threshold))
+    of_states = shaped.join(lists, "n_tok").select("founder", F.explode(state_keys).alias("key"))
+    array_keys = F.flatten(F.transform("shapes", lambda s: _part_keys(F.col("tokens"), s["fixed"], s["parts"], s["mask"])))
+    array_keys = F.when(F.col("more"), F.concat(array_keys, _segment_keys(F.col("tokens"), threshold))).otherwise(array_keys)
+    of_arrays = arrays.join(lists, "n_tok").select("first_line", F.explode(array_keys).alias("key"))
+    pairs = of_arrays.filter("key IS NOT NULL").join(of_states.filter("key IS NOT NULL"), "key").select("first_line", "founder").distinct()
+    apart = F.size(F.filter(F.zip_with("tokens", "state", lambda a, b: (a != b) | (b == WILDCARD)), lambda x: x))
+    wild = F.size("state") - F.size(F.array_remove("state", WILDCARD))
+    met = pairs.join(arrays.select("first_line", "n_tok", "tokens"), "first_line")
+    met = met.join(states.select("founder", F.col("tokens").alias("state")), "founder").withColumn("apart", apart)
+    taken = met.filter(F.lit(1.0) - F.col("apart") / F.col("n_tok") >= F.lit(threshold))
+    return taken.select("first_line", "founder", (F.col("apart") == wild).alias("covered"))
+
+
+def _component_blocks(left: DataFrame, accepted: DataFrame | None, threshold: float, batch: int) -> DataFrame:
+    """``left`` with new blocks, so that arrays of different blocks can never share a cluster.
+
+    Arrays are linked if one could found a cluster that takes the other, which needs a common segment, or if
+    a known cluster would take both. Components are hashed into about as many blocks per
+    length as there are batches; a hash that joins two components costs time, not correctness.
+    """
+    keys = left.select("first_line", F.explode(_segment_keys(F.col("tokens"), threshold)).alias("key")).filter("key IS NOT NULL")
+    hubs = keys.groupBy("key").agg(F.min("first_line").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    edges = keys.join(hubs, "key").select(F.col("first_line").alias("u"), F.col("hub").alias("v"))
+    if accepted is not None:
+        edges = edges.union(accepted.join(left.select("first_line"), "first_line", "left_semi").select("first_line", "founder"))
     components = connected_components(edges)
-    sizes = arrays.groupBy("n_tok").agg(F.ceil(F.count(F.lit(1)) / batch).alias("n_blocks"))
-    placed = arrays.select("n_tok", "first_line").join(sizes, "n_tok")
+    sizes = left.groupBy("n_tok").agg(F.ceil(F.count(F.lit(1)) / batch).alias("n_blocks"))
+    placed = left.drop("block").join(sizes, "n_tok")
     placed = placed.join(components, placed["first_line"] == components["node"], "left")
-    return placed.select(
-        "first_line",
-        F.pmod(F.xxhash64(F.coalesce("component", "first_line")), F.col("n_blocks")).cast("bigint").alias("new_block"),
-    )
+    block = F.pmod(F.xxhash64(F.coalesce("component", "first_line")), F.col("n_blocks")).cast("bigint")
+    return placed.select("n_tok", block.alias("block"), "first_line", "tokens")
 
 
 def mine_templates(
     entries: DataFrame,
     threshold: float = 0.75,
     batch: int = BATCH,
-    cover_rows: int = COVER_ROWS,
     split_after: int = SPLIT_AFTER,
+    masks: int = MASKS,
+    lines_are_unique: bool = False,
 ) -> MinedTemplates:
     """Similarity templates of the messages, exactly as first fit in line order gives them.
 
-    ``line`` must be unique over ``entries``; repeated lines are an error. ``batch`` bounds what one task mines in
-    sequence per round, ``cover_rows`` what one task tests. Messages of one length
-    are one block at first; what outlasts ``split_after`` rounds is cut into
-    components. None of the three changes results.
+    ``line`` must be unique over ``entries``; repeated lines are an error. Lines that :func:`read_lines` or
+    ``dense_number`` made need no check: ``lines_are_unique`` saves the shuffle of one row per line.
+    ``batch`` bounds what one task mines in sequence per round, along with the clusters that would take any of
+    it. Messages of one length are one block at first; what outlasts ``split_after`` rounds is cut into
+    components, and again after each further round. None of these parameters changes results.
     """
-    repeated = entries.groupBy("line").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    if not repeated.isEmpty():
-        raise ValueError("lines repeat: number the lines of all files together before mining")
+    if not lines_are_unique:
+        repeated = entries.groupBy("line").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        if not repeated.isEmpty():
+            raise ValueError("lines repeat: number the lines of all files together before mining")
     tokens = entries.select("line", tokenize(F.col("message_raw")).alias("tokens"))
-    arrays = tokens.groupBy("tokens").agg(F.min("line").alias("first_line"))
+    arrays = tokens.groupBy("tokens").agg(F.min("line").alias("first_line"), F.count(F.lit(1)).alias("rows"))
     # Both marks are stored: as filters before the store they would repeat the split into words.
     n_tok = F.size("tokens")
     arrays = cut_lineage(
@@ -292,65 +304,54 @@ def mine_templates(
 
     left = arrays.filter("not alone").select("n_tok", F.lit(0).cast("bigint").alias("block"), "first_line", "tokens")
     keys = ["n_tok", "block"]
-    known = None
+    known = accepted = None
     rounds = 0
-    while not left.isEmpty():
+    while True:
+        most = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        if most is None:
+            break
+        if rounds >= split_after and most > batch:
+            left = cut_lineage(_component_blocks(left, accepted, threshold, batch), "left")
+            most = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
         rounds += 1
-        rows = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
-        last = rows.filter(F.col("rows") > batch).isEmpty()
-        if rounds == split_after + 1 and not last:
-            founders = arrays.join(known.select(F.col("founder").alias("first_line")), "first_line", "left_semi")
-            together = left.select("n_tok", "first_line", "tokens").unionByName(
-                founders.select("n_tok", "first_line", "tokens")
-            )
-            blocks = cut_lineage(_component_blocks(together, threshold, batch), "blocks")
-            left = left.join(blocks, "first_line").withColumn("block", F.col("new_block")).drop("new_block")
-            left = cut_lineage(left, "left")
-            known = known.join(blocks, known["founder"] == blocks["first_line"]).select(
-                "n_tok", F.col("new_block").alias("block"), "founder", "tokens"
-            )
-            rows = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
         # A short first batch: most logs repeat a few shapes, which it finds.
-        limit = batch if last or rounds > 1 else max(1, batch // 4)
+        limit = batch if most <= batch or rounds > 1 else max(1, batch // 4)
         # The rank limit is applied before the shuffle too, so a hot block sends little.
         in_order = Window.partitionBy(*keys).orderBy("first_line")
         head = left.withColumn("rank", F.row_number().over(in_order)).filter(F.col("rank") <= limit).drop("rank")
-        blocks = head.groupBy(*keys)
         if known is None:
-            mined = blocks.applyInPandas(_mine_first(threshold), _MINED)
+            mined = head.groupBy(*keys).applyInPandas(_mine_first(threshold), _MINED)
         else:
-            # Only blocks with arrays left; the others are finished.
-            open_blocks = known.join(rows.select(*keys), keys, "left_semi")
-            mined = blocks.cogroup(open_blocks.groupBy(*keys)).applyInPandas(_mine_batch(threshold), _MINED)
+            # States only lose words, so a cluster that takes no array of the batch now never will.
+            needed = accepted.join(head.select("first_line", "block"), "first_line").select("founder", "block").distinct()
+            open_known = known.join(needed, "founder").select(
+                F.col("n_tok").alias("known_tok"), F.col("block").alias("known_block"), "founder", F.col("tokens").alias("state")
+            )
+            mined = head.groupBy(*keys).cogroup(open_known.groupBy("known_tok", "known_block")).applyInPandas(_mine_batch(threshold), _MINED)
         mined = cut_lineage(mined, "mined")
-        members.append(mined.filter(F.col("kind") == "member").select("id", "founder"))
+        done = mined.filter(F.col("kind") == "member").select("id", "founder")
+        members.append(done)
         fresh = mined.filter(F.col("kind") == "version")
         versions.append(fresh.select("founder", F.col("id").alias("valid_from"), "tokens"))
-        if last:
+        if most <= limit:
             break
 
-        latest = fresh.groupBy(*keys, "founder").agg(F.max_by("tokens", "id").alias("tokens"))
-        if known is not None:
-            latest = latest.unionByName(known.join(latest.select("founder"), "founder", "left_anti"))
-        known = cut_lineage(latest, "known")
-        state = known.select(
-            *keys, F.lit("version").alias("kind"), F.lit(0).cast("bigint").alias("id"), "founder", "tokens"
-        ).unionByName(mined.filter(F.col("kind") == "end"))
-        salts = rows.select(*keys, F.ceil(F.col("rows") / cover_rows).alias("salts"))
-        salted = left.join(salts, keys).withColumn("salt", F.pmod(F.xxhash64("first_line"), F.col("salts")))
-        copies = state.join(salts, keys).withColumn(
-            "salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1))
-        )
-        tested = (
-            salted.select(*keys, "salt", "first_line", "tokens")
-            .groupBy(*keys, "salt")
-            .cogroup(copies.drop("salts").groupBy(*keys, "salt"))
-            .applyInPandas(_cover(threshold), _TESTED)
-        )
-        tested = cut_lineage(tested, "tested")
-        covered = tested.filter(F.col("founder").isNotNull())
-        members.append(covered.select(F.col("first_line").alias("id"), "founder"))
-        left = tested.filter(F.col("founder").isNull()).drop("founder", "salt")
+        fresh = cut_lineage(fresh.groupBy("n_tok", "founder").agg(F.max_by("tokens", "id").alias("tokens")), "fresh")
+        rest = left.join(done.select(F.col("id").alias("first_line")), "first_line", "left_anti")
+        now = accepting(rest, fresh, threshold, masks)
+        if accepted is not None:
+            # What unchanged clusters would take is known from the rounds before.
+            old = accepted.join(fresh.select("founder"), "founder", "left_anti").join(rest.select("first_line"), "first_line", "left_semi")
+            now = now.unionByName(old)
+            fresh = known.join(fresh.select("founder"), "founder", "left_anti").unionByName(fresh)
+        accepted = cut_lineage(now, "accepted")
+        # The oldest cluster that takes an array: if it covers it, no turn of another array matters.
+        oldest = accepted.groupBy("first_line").agg(F.min(F.struct("founder", "covered")).alias("home"))
+        covered = cut_lineage(oldest.filter("home.covered").select(F.col("first_line").alias("id"), F.col("home.founder").alias("founder")), "covered")
+        members.append(covered)
+        left = cut_lineage(rest.join(covered.select(F.col("id").alias("first_line")), "first_line", "left_anti").select("n_tok", "block", "first_line", "tokens"), "left")
+        accepted = accepted.join(covered.select(F.col("id").alias("first_line")), "first_line", "left_anti")
+        known = cut_lineage(fresh.join(accepted.select("founder").distinct(), "founder", "left_semi").select("n_tok", "founder", "tokens"), "known")
 
     def together(parts):
         out = parts[0]
@@ -363,7 +364,9 @@ def mine_templates(
     starts = versions.select(F.col("founder").alias("line")).distinct().unionByName(lone)
     ids = cut_lineage(dense_number(starts, "line", "event_id"), "ids").select(F.col("line").alias("founder"), "event_id")
     assignments = (
-        arrays.join(members, arrays["first_line"] == members["id"]).join(ids, "founder").select("tokens", "event_id")
+        arrays.join(members, arrays["first_line"] == members["id"])
+        .join(ids, "founder")
+        .select("tokens", F.xxhash64("tokens").alias("token_hash"), "rows", "event_id")
     )
     versions = versions.join(ids, "founder").select("event_id", "valid_from", F.array_join("tokens", " ").alias("template"))
     if lone.isEmpty():
@@ -375,11 +378,23 @@ def mine_templates(
     )
 
 
-def attach_templates(entries: DataFrame, mined: MinedTemplates) -> DataFrame:
+def _frequent(mined: MinedTemplates, share: float, most: int) -> DataFrame | None:
+    """The token arrays that hold more than ``share`` of all lines each, at most ``most`` and none of great length; None without."""
+    total = mined.assignments.agg(F.sum("rows")).first()[0] or 0
+    short = F.length(F.array_join("tokens", " ")) <= FREQUENT_CHARS
+    hot = mined.assignments.filter(short & (F.col("rows") > share * total)).orderBy(F.desc("rows"), "event_id").limit(most)
+    hot = cut_lineage(hot, "frequent")
+    return None if hot.isEmpty() else hot
+
+
+def attach_templates(entries: DataFrame, mined: MinedTemplates, *, frequent_share: float = FREQUENT_SHARE, most_frequent: int = MOST_FREQUENT) -> DataFrame:
     """Add ``event_id`` and ``template``, the template version in force at each line.
 
     The versions of an event are few (each takes a word away). Only the lines they start at
     travel with the rows of an event; they tell the number of the version, by which its text is joined.
+    Messages that hold more than ``frequent_share`` of the log each, so ``1 / frequent_share`` or ``most_frequent`` at
+    most, go to the rows, which then stay where they are; the others meet by a 64-bit hash of their words, and the
+    words themselves decide.
     """
     in_order = Window.partitionBy("event_id").orderBy("valid_from")
     numbered = mined.versions.select("event_id", F.row_number().over(in_order).alias("_version"), "valid_from", F.col("template").alias("_text"))
@@ -388,29 +403,39 @@ def attach_templates(entries: DataFrame, mined: MinedTemplates) -> DataFrame:
     starts = cut_lineage(numbered.groupBy("event_id").agg(F.array_sort(F.collect_list("valid_from")).alias("_starts")), "starts")
     kept = [c for c in entries.columns if c not in ("event_id", "template")]
     base = entries.select(*kept, tokenize(F.col("message_raw")).alias("_tokens"))
-    assigned = mined.assignments.select(F.col("tokens").alias("_tokens"), "event_id")
     if mined.lone is not None:
         base = base.filter(~F.coalesce(_never_joins(F.col("_tokens"), mined.threshold), F.lit(False)))
     version = F.size(F.filter("_starts", lambda s: s <= F.col("line")))
-    out = (
-        base.join(assigned, "_tokens", "left")
-        .drop("_tokens")
-        .join(starts, "event_id", "left")
-        .withColumn("_version", version)
-        .drop("_starts")
-        .join(numbered.drop("valid_from"), ["event_id", "_version"], "left")
-        .select(
-            *kept,
-            F.coalesce("event_id", F.lit(0).cast("bigint")).alias("event_id"),
-            F.coalesce("_text", F.lit("")).alias("template"),
-        )
-    )
-    if mined.lone is None:
-        return out
-    alone = _lone_rows(entries.select(*kept), mined.threshold).join(mined.lone, "line")
-    return out.unionByName(
-        alone.select(*kept, "event_id", F.array_join(tokenize(F.col("message_raw")), " ").alias("template"))
-    )
+
+    def named(rows: DataFrame, starts: DataFrame, numbered: DataFrame) -> DataFrame:
+        out = rows.join(starts, "event_id", "left").withColumn("_version", version).drop("_starts")
+        out = out.join(numbered.drop("valid_from"), ["event_id", "_version"], "left")
+        return out.select(*kept, F.coalesce("event_id", F.lit(0).cast("bigint")).alias("event_id"), F.coalesce("_text", F.lit("")).alias("template"))
+
+    base = base.withColumn("_hash", F.xxhash64("_tokens"))
+    assigned = mined.assignments.select(F.col("token_hash").alias("_hash"), F.col("tokens").alias("_known"), "event_id")
+    same = [F.col("_hash") == F.col("_other"), F.col("_tokens") == F.col("_known")]
+
+    def by_words(rows: DataFrame, some: DataFrame, how: str) -> DataFrame:
+        return rows.join(some.withColumnRenamed("_hash", "_other"), same, how)
+
+    hot = _frequent(mined, frequent_share, most_frequent)
+    parts = []
+    if hot is not None:
+        # Bounded: ``most_frequent`` short messages; with them go the versions of as many events.
+        of_hot = F.broadcast(hot.select(F.col("token_hash").alias("_hash"), F.col("tokens").alias("_known"), "event_id"))
+        events = hot.select("event_id").distinct()
+        hot_starts, hot_numbered = (F.broadcast(df.join(events, "event_id", "left_semi")) for df in (starts, numbered))
+        parts.append(named(by_words(base, of_hot, "inner").drop("_tokens", "_hash", "_other", "_known"), hot_starts, hot_numbered))
+        base = by_words(base, of_hot.drop("event_id"), "left_anti")
+    parts.append(named(by_words(base, assigned, "left").drop("_tokens", "_hash", "_other", "_known"), starts, numbered))
+    if mined.lone is not None:
+        alone = _lone_rows(entries.select(*kept), mined.threshold).join(mined.lone, "line")
+        parts.append(alone.select(*kept, "event_id", F.array_join(tokenize(F.col("message_raw")), " ").alias("template")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def drain_templates(entries: DataFrame, threshold: float = 0.75, batch: int = BATCH) -> DataFrame:

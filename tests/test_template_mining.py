@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from logloom.operators.components import connected_components
+from logloom.operators.mining_checks import first_fit_violations
 from logloom.operators.templates import (
+    MinedTemplates,
     attach_templates,
     distinct_templates,
     drain_templates,
@@ -77,48 +79,93 @@ def test_one_round_matches_model(spark, seed, threshold):
 @pytest.mark.parametrize("seed", range(2))
 def test_many_rounds_and_component_blocks_match_model(spark, seed):
     texts = messages(100 + seed, 250)
-    got, mined = run(spark, texts, 0.75, batch=16, cover_rows=9, split_after=1)
+    got, mined = run(spark, texts, 0.75, batch=16, split_after=1, masks=2)
     assert got == model(texts, 0.75)
     assert mined.rounds > 2
 
 
 def test_low_threshold_rounds(spark):
     texts = messages(5, 200)
-    got, mined = run(spark, texts, 0.5, batch=30, cover_rows=20)
+    got, mined = run(spark, texts, 0.5, batch=30)
     assert got == model(texts, 0.5)
 
 
-def test_many_seeds_on_pure_python_kernel():
-    """The batch kernel and the cover test agree with the model over many small runs."""
-    import pandas as pd
+def test_two_hundred_seeds_in_many_rounds(spark):
+    """Logs of 200 seeds, with words of their own, in one run; each must come out as its model says."""
+    logs = {seed: [" ".join(w if w == W else f"{w}_{seed}" for w in t.split()) for t in messages(seed, 60)] for seed in range(200)}
+    order = sorted((i, seed) for seed, log in logs.items() for i in range(len(log)))
+    got, mined = run(spark, [logs[seed][i] for i, seed in order], 0.75, batch=300, masks=3, split_after=3)
+    assert mined.rounds > 2
+    homes = {}
+    for seed, log in logs.items():
+        for i, (event, template) in enumerate(model(log, 0.75)):
+            homes[i, seed] = (event, template)
+    founders = {}
+    for line, ((i, seed), (event, _)) in enumerate(zip(order, got), 1):
+        want, _ = homes[i, seed]
+        assert (want == 0) == (event == 0)
+        if want:
+            assert founders.setdefault((seed, want), event) == event
+    assert [homes[i, seed][1] for i, seed in order] == [t for _, t in got]
+    ids = list(founders.values())
+    assert sorted(ids) == list(range(1, len(ids) + 1)) and ids == sorted(ids)
+
+
+def violations(spark, texts, **options):
+    df = frame(spark, texts)
+    return first_fit_violations(df, mine_templates(df, **options)).first().asDict()
 
-    from logloom.operators.templates import _cover, _mine_batch
 
-    for seed in range(200):
-        rng = random.Random(seed)
-        texts = []
-        for t in messages(seed, 60):
-            parts = t.split()
-            if len(parts) == 8 and parts.count(W) <= 2 and t not in texts:
-                texts.append(t)
-        if len(texts) < 2:
-            continue
-        want = model(texts, 0.75)
-        split = rng.randrange(1, len(texts))
-        arrays = pd.DataFrame({"first_line": range(1, len(texts) + 1), "tokens": [t.split() for t in texts]})
-        arrays["n_tok"], arrays["block"] = 8, 0
-        none = pd.DataFrame({"founder": pd.Series([], dtype="int64"), "tokens": []})
-        mined = _mine_batch(0.75)((8, 0), arrays.iloc[:split], none)
-        known = mined[mined.kind == "version"].groupby("founder").last().reset_index()
-        state = pd.concat([known.assign(kind="version"), mined[mined.kind == "end"]])
-        tested = _cover(0.75)((8, 0, 0), arrays, state)
-        assert len(tested) == len(texts) - split
-        left = tested[tested.founder.isna()]
-        rest = _mine_batch(0.75)((8, 0), left, known[["founder", "tokens"]])
-        home = {r.id: r.founder for r in pd.concat([mined, rest]).itertuples() if r.kind == "member"}
-        home.update({r.first_line: r.founder for r in tested[tested.founder.notna()].itertuples()})
-        order = {f: i for i, f in enumerate(sorted(set(home.values())), 1)}
-        assert [order[home[i]] for i in range(1, len(texts) + 1)] == [w[0] for w in want]
+def test_replay_of_the_rule_finds_nothing(spark):
+    texts = messages(300, 200)
+    assert violations(spark, texts, batch=16, masks=1) == {"not_first_fit": 0, "merge_missed": 0, "unassigned": 0}
+
+
+def mined_by_hand(spark, rows, versions):
+    assignments = spark.createDataFrame([(t.split(), e) for t, e in rows], "tokens array<string>, event_id bigint")
+    return MinedTemplates(assignments, spark.createDataFrame(versions, "event_id bigint, valid_from bigint, template string"), None, 0.75, 1)
+
+
+def test_replay_of_the_rule_sees_wrong_mining(spark):
+    texts = ["a b c d", "a b c e", "a b c f", "x y z w"]
+    df = frame(spark, texts)
+    never = mined_by_hand(spark, [(t, i) for i, t in enumerate(texts, 1)], [(i, i, t) for i, t in enumerate(texts, 1)])
+    assert first_fit_violations(df, never).first().asDict() == {"not_first_fit": 2, "merge_missed": 0, "unassigned": 0}
+    rows = [(texts[0], 1), (texts[1], 1), (texts[2], 1), (texts[3], 2)]
+    right = [(1, 1, "a b c d"), (1, 2, f"a b c {W}"), (2, 4, "x y z w")]
+    assert first_fit_violations(df, mined_by_hand(spark, rows, right)).first().asDict() == {"not_first_fit": 0, "merge_missed": 0, "unassigned": 0}
+    kept = [(1, 1, "a b c d"), (2, 4, "x y z w")]
+    assert first_fit_violations(df, mined_by_hand(spark, rows, kept)).first()["merge_missed"] == 2
+    late = [(1, 1, "a b c d"), (1, 3, f"a b c {W}"), (2, 4, "x y z w")]
+    assert first_fit_violations(df, mined_by_hand(spark, rows, late)).first()["merge_missed"] == 1
+    wrong = [(texts[0], 1), (texts[1], 1), (texts[2], 1), (texts[3], 1)]
+    assert first_fit_violations(df, mined_by_hand(spark, wrong, right[:2])).first()["merge_missed"] == 1
+    assert first_fit_violations(df, mined_by_hand(spark, rows[:3], right)).first()["unassigned"] == 1
+
+
+def test_frequent_messages_stay_where_they_are(spark):
+    texts = ["hot message of all days"] * 60 + [f"rare {i} of many kinds {i}" for i in range(120)] + ["hot message of all nights"] * 20
+    df = frame(spark, texts)
+    mined = mine_templates(df)
+    plain = attach_templates(df, mined, frequent_share=1.0)
+    hot = attach_templates(df, mined, frequent_share=0.05)
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, hot.collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = attach_templates(df, mined, frequent_share=0.05)._jdf.queryExecution().optimizedPlan().toString()
+        physical = attach_templates(df, mined, frequent_share=0.05)._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "rightHint=(strategy=broadcast)" in plan
+    # The branch of the frequent messages only meets broadcast tables; the other keeps none of their rows.
+    first, rest = physical.split("SortMergeJoin", 1)
+    assert "BroadcastHashJoin" in first or "BroadcastHashJoin" in rest
+    assert "LeftAnti" in physical
+
+
+def test_lines_that_are_unique_are_not_shuffled(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "a b c d"), (1, "a b c e")], "line bigint, message_raw string")
+    assert mine_templates(rows, lines_are_unique=True).assignments.count() == 2
 
 
 def test_versions_and_catalogue(spark):
