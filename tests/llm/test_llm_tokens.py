@@ -31,7 +31,6 @@ ODD = [
 @pytest.fixture(scope="module")
 def plain():
     tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
@@ -56,12 +55,53 @@ def test_encoder_equals_library_on_odd_texts(plain):
         assert ids[ends[k] : ends[k + 1]].tolist() == plain(text), text
 
 
+def test_added_tokens_have_their_own_ids(plain):
+    text = "end of file <|endoftext|> next one"
+    ids, ends = TextEncoder(WORDS).encode(pa.array(["a", text, "<|ENDOFTEXT|>", "b"]))
+    assert ids[ends[1] : ends[2]].tolist() == plain(text) == [806, 539, 4512, 49407, 1131, 637]
+    assert ids[ends[2] : ends[3]].tolist() == plain("<|ENDOFTEXT|>") and len(ends) == 5
+
+
+def test_encoder_equals_library_on_random_texts(plain):
+    parts = [*"abstmdrevl'  12.,-ASTREVLM\n\t\x0b\x0c\x1c\x85\xa0éÉßñİıŉ×÷ſŁž²½K", "'s", "'LL", "'re", "''", "é", "̧", "日", "—", "🙂", "​"]
+    parts += ["<|endoftext|>", "<|startoftext|>", "İ,", "ẞ", "Σ", "ΟΔΟΣ", "가", "ﬁ", "\xad", " ", "٣", "\x00", "\x7f"]
+    rng, encoder = random.Random(1), TextEncoder(WORDS)
+    for _ in range(20):
+        texts = ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(200)]
+        ids, ends = encoder.encode(pa.array(texts))
+        for k, text in enumerate(texts):
+            assert ids[ends[k] : ends[k + 1]].tolist() == plain(text), text
+
+
+def test_forgotten_pieces_are_encoded_again(plain, monkeypatch):
+    monkeypatch.setattr("logloom.llm.tokens.CACHED_PIECES", 10)
+    encoder = TextEncoder(WORDS)
+    text = " ".join(f"word{chr(97 + i)}" for i in range(26))
+    for _ in range(3):
+        ids, _ = encoder.encode(pa.array([text]))
+        assert ids.tolist() == plain(text) and len(encoder.known) <= 36
+
+
+@pytest.mark.parametrize("text", ["x" * 1_000_000, " " * 3_000_000, "\n" * 3_000_000, " " * 1_000_000 + "a", "日" * 300_000, "1" * 300_000, "'s" * 300_000, "é, " * 300_000], ids=range(8))
+def test_very_long_texts(plain, ranks, text):
+    ids, _ = TextEncoder(WORDS).encode(pa.array([text]))
+    assert np.array_equal(ids, plain(text))
+    got = encode_text(ranks, text)
+    assert ranks.decode_bytes(got.tolist()) == text.encode()
+    if text.strip():
+        tail = text.lstrip(" ")
+        white = len(text) - len(tail)
+        head = [ranks.encode_single_token(b" ")] * (white - 1)
+        assert got.tolist() == head + ranks.encode_ordinary(" " * bool(white) + tail)
+    else:  # one match; the ranks have no token of two of these
+        assert got.tolist() == [ranks.encode_single_token(text[:1].encode())] * len(text)
+
+
 def test_encoder_of_other_kind_of_tokenizer():
     path = public_tokenizers.path("byte_bpe_50k.json")
     other = Tokenizer.from_file(path)
-    other.encode_special_tokens = True
     encoder = TextEncoder(path)
-    assert not encoder.by_word
+    assert not encoder.by_piece
     ids, ends = encoder.encode(pa.array(ODD))
     for k, text in enumerate(ODD):
         assert ids[ends[k] : ends[k + 1]].tolist() == other.encode(text, add_special_tokens=False).ids
@@ -182,3 +222,4 @@ def test_split_texts_encode_alike(ranks):
         text = "".join(rng.choice(["a", "b1", " ", "  ", "\n", "　", "'s", "é", "!?", "\t", "ſ"]) for _ in range(200))
         assert "".join(split_safely(text, 7)) == text
         assert encode_text(ranks, text, 7).tolist() == ranks.encode_ordinary(text), seed
+        assert encode_text(ranks, text, 7, 2).tolist() == ranks.encode_ordinary(text), seed
