@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Bytes of text that one step inside a task works on; a single longer text is a step of its own.
@@ -86,3 +86,40 @@ def rows_of(values: dict[str, np.ndarray | list | pa.Array], schema: pa.Schema)
         [v if isinstance(v, pa.Array) else pa.array(v, f.type) for f, v in zip(schema, values.values(), strict=True)],
         schema=schema,
     )
+
+
+def without_broken_characters(kept: bytes, cuts: list[int]) -> bytes:
+    """``kept`` without the bytes of characters that were broken at ``cuts``, positions where something was taken out."""
+    parts = [kept[a:b] for a, b in zip([0, *cuts], [*cuts, len(kept)], strict=True)]
+    for i, part in enumerate(parts):
+        if i:
+            begin = 0
+            while begin < len(part) and part[begin] & 0xC0 == 0x80:
+                begin += 1
+            part = part[begin:]
+        if i < len(cuts):
+            for back in range(1, min(3, len(part)) + 1):
+                byte = part[-back]
+                if byte & 0xC0 != 0x80:
+                    if byte >= 0xC0 and back < (2 if byte < 0xE0 else 3 if byte < 0xF0 else 4):
+                        part = part[:-back]
+                    break
+        parts[i] = part
+    return b"".join(parts)
+
+
+def mended(kept: Column, spans: Column) -> Column:
+    """The text of the bytes ``kept`` after ``spans`` (start, end in the whole text) were taken out, in whole characters."""
+
+    @F.arrow_udf("string")
+    def mend(kept: pa.Array, spans: pa.Array) -> pa.Array:
+        out = []
+        for data, removed in zip(kept.to_pylist(), spans.to_pylist(), strict=True):
+            cuts, gone = [], 0
+            for span in removed:
+                cuts.append(span["start"] - gone)
+                gone += span["end"] - span["start"]
+            out.append(without_broken_characters(data, cuts).decode("utf-8", "replace"))
+        return pa.array(out, pa.string())
+
+    return mend(kept, spans)

@@ -7,6 +7,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
+from logloom.llm.common import without_broken_characters
 
 SMALL = "/root/testdata/sf0.001"
 COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -83,3 +84,13 @@ def test_language_stage_keeps_lettered_texts_if_nothing_is_labelled(spark):
     rows = [(1, "some words", None, "s", 10), (2, "12 34", None, "s", 5), (3, None, None, "s", 0), (4, "é", None, "s", 1)]
     kept = corpus_pipeline.keep_known_language(spark, spark.createDataFrame(rows, COLUMNS), SMALL).collect()
     assert {r["doc_id"] for r in kept} == {1, 4}
+
+
+def test_only_characters_broken_by_a_cut_go(spark):
+    shared = "".join(chr(0x4E00 + 7 * i) for i in range(60))
+    rows = [(1, f"a {shared}", "en", "s", 1), (2, f"caf\ufffd \u00e9{shared}\u00e9 tail \ufffd", "en", "s", 1), (3, f"\u00e9{shared[3:]}", "en", "s", 1)]
+    cut = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_passages(spark, spark.createDataFrame(rows, COLUMNS), SMALL).collect()}
+    assert cut[1] == rows[0][1] and cut[2].startswith("caf\ufffd \u00e9") and cut[2].endswith(" tail \ufffd") and len(cut[2]) < 20
+    assert without_broken_characters("\u00e9\u65e5".encode()[:3], [1]) == b"\xe6" and without_broken_characters(b"", [0]) == b""
+    assert without_broken_characters("\u00e9a".encode() + "\u65e5".encode()[1:], [3]) == "\u00e9a".encode()
+    assert without_broken_characters("\u00e9\u65e5x".encode(), []) == "\u00e9\u65e5x".encode()
