@@ -11,6 +11,7 @@ from logloom.functions.text import tokenize
 from logloom.operators import bursts as B
 from logloom.operators import templates as T
 from logloom.operators import timeseries as W
+from logloom.operators.mining_checks import first_fit_violations
 from logloom.operators.numbering import cut_lineage, shared_folder
 from logloom.sources import detect
 from logloom.sources.lines import read_lines
@@ -159,10 +160,11 @@ def _mining_checks(entries: DataFrame, mined) -> DataFrame:
         F.count_if(1 - wild < 0.75).alias("too_general"),
     )
     one = F.lit(1).alias("one")
-    return lines.select(one, "*").join(found.select(one, "*"), "one").drop("one")
+    replayed = first_fit_violations(entries, mined)
+    return lines.select(one, "*").join(found.select(one, "*"), "one").join(replayed.select(one, "*"), "one").drop("one")
 
 
-_NONE = ", ".join(f"CAST(0 AS BIGINT) AS {c}" for c in ("without_event", "other_length", "other_word", "too_general", "misnumbered", "gaps", "unfounded"))
+_NONE = ", ".join(f"CAST(0 AS BIGINT) AS {c}" for c in ("without_event", "other_length", "other_word", "too_general", "misnumbered", "gaps", "unfounded", "not_first_fit", "merge_missed", "unassigned"))
 
 
 @query(f"SELECT count(*) AS lines, {_NONE} FROM events")

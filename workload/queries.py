@@ -21,6 +21,7 @@ from logloom.sources.parsers import parse_servicing, parse_syslog
 from logloom.sources.tables import csv_entries, from_table
 from workload import inputs as I
 from workload.inputs import sql
+from workload.mining_sql import CATALOGUE, DOCUMENT_LINES, EVENTS, SIZES, VERSIONS, WIDE, mined_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -176,22 +177,22 @@ def _drained(spark, sf, suffix="''"):
     return T.attach_templates(rows, mined), mined
 
 
-@query()
+@query(mined_sql(*WIDE, EVENTS))
 def drain_templates(spark, sf):
     return _drained(spark, sf)[0].select("line", "event_id", "template")
 
 
-@query()
+@query(mined_sql(*WIDE, VERSIONS))
 def drain_versions(spark, sf):
     return T.template_versions(_drained(spark, sf)[1])
 
 
-@query()
+@query(mined_sql(*WIDE, CATALOGUE))
 def template_catalogue(spark, sf):
     return T.template_catalogue(_drained(spark, sf)[0])
 
 
-@query()
+@query(mined_sql(*DOCUMENT_LINES, SIZES))
 def drain_document_lines(spark, sf):
     """Similarity templates of all document lines: long, multilingual and mostly distinct."""
     rows = from_table(
