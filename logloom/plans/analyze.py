@@ -15,7 +15,7 @@ from logloom.operators import stats as S
 from logloom.operators import templates as T
 from logloom.operators import timeseries as W
 from logloom.operators.numbering import cut_lineage
-from logloom.sources.detect import read_entries
+from logloom.sources.detect import read_numbered
 
 SEMANTIC_SCHEMA = "template_idx bigint, template string, distance double, severity string"
 MEMBER_SCHEMA = "template_idx bigint, template string, cluster bigint"
@@ -54,16 +54,17 @@ def analyze(
     semantic: bool = True,
     encoder: Callable[[DataFrame], DataFrame] | None = None,
     stop_words: list[str] | None = None,
+    lines_are_unique: bool = False,
 ) -> Analysis:
     """Mine templates, then derive every table from the stored entries.
 
     ``encoder`` maps ``(template_idx, template)`` to the same with a ``vector`` column
     of given embeddings; without it the vectors are TF-IDF. Vectors are made once and
-    serve both the clusters and the semantic anomalies.
+    serve both the clusters and the semantic anomalies. ``lines_are_unique`` says that the lines need no check.
     """
     spark = entries.sparkSession
     parsed = cut_lineage(entries, "parsed")
-    mined = T.mine_templates(parsed, similarity)
+    mined = T.mine_templates(parsed, similarity, lines_are_unique=lines_are_unique)
     rows = cut_lineage(W.temporal_features(T.attach_templates(parsed, mined), minutes), "entries")
 
     semantics = spark.createDataFrame([], SEMANTIC_SCHEMA)
@@ -111,7 +112,8 @@ def analyze(
 def analyze_path(spark: SparkSession, path: str | list[str], year: int | None = None, readers=None, **options) -> Analysis:
     """The same from a log of any known format: a file, a folder, a glob, or a list of them."""
     name = (path if isinstance(path, str) else path[0]).rstrip("/").rsplit("/", 1)[-1]
-    return analyze(read_entries(spark, path, year, readers=readers), name, **options)
+    entries, unique = read_numbered(spark, path, year, readers=readers)
+    return analyze(entries, name, **{"lines_are_unique": unique, **options})
 
 
 def write_entries(entries: DataFrame, path: str) -> None:

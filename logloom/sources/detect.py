@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions import patterns as P
 from logloom.functions.text import strip
-from logloom.sources.lines import first_lines, read_lines
+from logloom.sources.lines import files_of, first_lines, read_lines
 from logloom.sources.parsers import parse_servicing, parse_syslog
 from logloom.sources.tables import read_csv
 
@@ -57,12 +57,12 @@ def suffix_of(spark: SparkSession, paths: str | list[str]) -> str:
     own = os.path.splitext(first.rstrip("/"))[1].lower()
     if own and not any(c in own for c in "*?{["):
         return own
-    files = sorted(spark.read.text(paths).inputFiles())
+    files = files_of(spark, paths)
     return os.path.splitext(files[0])[1].lower() if files else own
 
 
 def detect_format(spark: SparkSession, paths: str | list[str], ruleset: str = "current") -> str:
-    """``csv`` by file name, else the scored format; of several files the first in path order decides, by its first 50 lines."""
+    """``csv`` by file name, else the scored format; of several files the first in path order that has text decides, by its first 50 lines."""
     if suffix_of(spark, paths) == ".csv":
         return "csv"
     return score_format(first_lines(spark, paths, SAMPLE_LINES), ruleset).first()["format"]
@@ -84,14 +84,19 @@ def read_entries(
     on an unknown format unless ``on_unknown='servicing'``, and takes a CSV without
     rows for plain lines.
     """
+    return read_numbered(spark, path, year, ruleset, on_unknown, readers, **options)[0]
+
+
+def read_numbered(spark, path, year=None, ruleset="current", on_unknown=None, readers=None, **options) -> tuple[DataFrame, bool]:
+    """The entries of :func:`read_entries`, and whether their lines were numbered here, so cannot repeat."""
     suffix = suffix_of(spark, path)
     if readers and suffix in readers:
-        return readers[suffix](spark, path)
+        return readers[suffix](spark, path), False
     fmt = detect_format(spark, path, ruleset)
     if fmt == "csv":
         entries = read_csv(spark, path, year, ruleset, **options)
         if ruleset != "legacy" or not entries.isEmpty():
-            return entries
+            return entries, False
         fmt = score_format(first_lines(spark, path, SAMPLE_LINES), ruleset).first()["format"]
     if fmt == "unknown":
         if on_unknown != "servicing":
@@ -99,5 +104,5 @@ def read_entries(
         fmt = "servicing"
     lines = read_lines(spark, path)
     if fmt == "syslog":
-        return parse_syslog(lines, year, ruleset=ruleset)
-    return parse_servicing(lines, ruleset)
+        return parse_syslog(lines, year, ruleset=ruleset), True
+    return parse_servicing(lines, ruleset), True

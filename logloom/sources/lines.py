@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,14 +63,31 @@ def read_lines(spark: SparkSession, paths, per_file: bool = False) -> DataFrame:
     )
 
 
+def files_of(spark: SparkSession, paths) -> list[str]:
+    """The files of ``paths`` in path order, as names that can be read again, whatever characters they hold."""
+    listed = spark.read.text(paths).inputFiles()  # as encoded URIs
+    return sorted(re.sub(r"([\\{}\[\]*?])", r"\\\1", unquote(uri)) for uri in listed)
+
+
+def plain_path(uri: str) -> str:
+    """A URI with one slash after its scheme, as paths are written in either way."""
+    return re.sub(r"^(\w+):/+", r"\1:/", uri)
+
+
 def first_lines(spark: SparkSession, paths, count: int) -> DataFrame:
-    """``(line, text)`` of the first ``count`` lines of the first file in path order.
+    """``(line, text)`` of the first ``count`` lines of the first file in path order that has a line with text.
 
-    Only rows of the file's first split are taken, in their order; a file of many splits is not read on.
+    Only rows of a file's first split are taken, in their order; a file of many splits is not read on. Files
+    without a byte are passed over by their size, in one listing.
     """
-    files = sorted(spark.read.text(paths).inputFiles())
-    rows = []
-    if files:
-        head = spark.read.text(files[0]).select("value", *scan_columns()).filter(F.col("block") == 0)
+    files, rows = files_of(spark, paths), []
+    if len(files) > 1:
+        sizes = spark.read.format("binaryFile").load(files).select("path", "length").filter("length > 0")
+        some = {plain_path(r["path"]) for r in sizes.select("path").collect()}
+        files = [f for f in files if plain_path(re.sub(r"\\(.)", r"\1", f)) in some]
+    for file in files:
+        head = spark.read.text(file).select("value", *scan_columns()).filter(F.col("block") == 0)
         rows = sorted(head.select("mid", "value").limit(count).collect())
+        if any(r["value"].strip() for r in rows):
+            break
     return spark.createDataFrame([(i + 1, r["value"]) for i, r in enumerate(rows)], "line bigint, text string")

@@ -285,3 +285,37 @@ def test_read_entries_of_any_format(spark, tmp_path):
     empty = write(tmp_path / "e.log", "")
     assert read_entries(spark, empty).count() == 0
     assert read_entries(spark, empty).columns == ENTRY_COLUMNS
+
+
+@pytest.mark.parametrize("name", ["my log.log", "100%20 done.log", "a[1]{b}.log", "caf\u00e9 #1?.log"])
+def test_any_path(spark, tmp_path, name):
+    path = write(tmp_path / name, f"{SYS}\n\n{SYS} again\n")
+    for given in (str(tmp_path), str(tmp_path / "*.log"), *([path] if not set("[{?*") & set(name) else [])):
+        assert detect_format(spark, given) == "syslog"
+        rows = read_entries(spark, given, 2024).orderBy("line").collect()
+        assert [(r["line"], r["message_raw"]) for r in rows] == [(1, "hi"), (3, "hi again")]
+
+
+def test_the_first_file_with_text_chooses_the_format(spark, tmp_path):
+    write(tmp_path / "a.log", "")
+    write(tmp_path / "b.log", "\n \n")
+    write(tmp_path / "c d.log", f"{SYS}\n" * 80)
+    assert detect_format(spark, str(tmp_path)) == "syslog"
+    rows = read_entries(spark, str(tmp_path), 2024).collect()
+    assert len(rows) == 80 and all(r["timestamp"] for r in rows)
+    none = tmp_path / "none"
+    none.mkdir()
+    write(none / "a.log", "")
+    write(none / "b.log", "")
+    assert read_entries(spark, str(none), 2024).collect() == []
+
+
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_csv_files_go_by_their_own_header(spark, tmp_path, multi_line):
+    write(tmp_path / "a 1.csv", "Timestamp,Content\n2024-01-02 10:00:00,one\n2024-01-02 10:00:01,two\n")
+    write(tmp_path / "b.csv", "Content, Timestamp \nthree,2024-01-02 10:00:02\n")
+    write(tmp_path / "c.csv", "")
+    write(tmp_path / "d.csv", "timestamp,content,level\n2024-01-02 10:00:03,four,error\n")
+    rows = read_csv(spark, str(tmp_path), multi_line=multi_line).orderBy("line").collect()
+    assert [(r["line"], r["message_raw"], r["timestamp"].second) for r in rows] == [(1, "one", 0), (2, "two", 1), (3, "three", 2), (4, "four", 3)]
+    assert rows[3]["level"] == "error"
