@@ -14,6 +14,7 @@ from logloom.operators import timeseries as W
 from logloom.operators.mining_checks import first_fit_violations
 from logloom.operators.numbering import cut_lineage, shared_folder
 from logloom.sources import detect
+from logloom.sources.detect import read_entries
 from logloom.sources.lines import read_lines
 from logloom.sources.tables import csv_entries, from_table, read_csv
 from workload import inputs as I
@@ -180,3 +181,29 @@ def drain_document_line_rules(spark, sf):
     lines = I.doc_lines(spark, sf).withColumn("k", F.col("doc_id") * 1_000_000 + F.col("pos"))
     rows = cut_lineage(from_table(lines, "text", line="k", source="docs"), "doc-lines")
     return _mining_checks(rows, T.mine_templates(rows))
+
+
+# ---- folders as users have them ----------------------------------------------------------
+
+
+@query(sql("SELECT line, timestamp, message_raw FROM entries"))
+def syslog_folder_of_any_names(spark, sf):
+    """Files in folders with blanks and signs in their names, the first of them empty."""
+    top = _folder(spark, "logs")
+    lines = I.log_syslog(spark, sf)
+    lines.limit(0).select("text").coalesce(1).write.text(f"{top}/100% empty")
+    whole = lines.repartitionByRange(3, "line").sortWithinPartitions("line").select("text")
+    whole.write.text(f"{top}/log of [all] hosts")
+    return read_entries(spark, [f"{top}/100% empty", f"{top}/log of \\[all\\] hosts"], I.YEAR).select("line", "timestamp", "message_raw")
+
+
+@query(sql(f"""SELECT row_number() OVER (ORDER BY event_id % 2, event_id) AS line, date_trunc('second', ts) AS timestamp, {I._SQL_MESSAGE} AS message_raw,
+ CASE event_id % 2 WHEN 0 THEN '' ELSE CAST(user_id AS VARCHAR) END AS pid FROM events"""))
+def csv_folders_by_their_headers(spark, sf):
+    """CSV files whose columns differ in order and number."""
+    top = _folder(spark, "csv")
+    stamp, said = F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.expr(f"concat({I._MESSAGE})")
+    for odd, columns in ((0, [stamp.alias("Timestamp"), said.alias("Content")]), (1, [F.col("user_id").alias("PID"), said.alias("Content"), stamp.alias(" timestamp")])):
+        rows = I.table(spark, sf, "events").filter(F.col("event_id") % 2 == odd).repartitionByRange(2, "event_id").sortWithinPartitions("event_id")
+        rows.select(*columns).write.csv(f"{top}/half {odd}", header=True, escape='"')
+    return read_csv(spark, [f"{top}/half 0", f"{top}/half 1"]).select("line", "timestamp", "message_raw", "pid")
