@@ -35,7 +35,15 @@ def number_rows(scan: DataFrame, per_file: bool = False) -> DataFrame:
     is joined on the split. The numbers run on from file to file in path order, or
     start anew in each file with ``per_file=True``.
     """
-    splits = scan.groupBy("file", "block").agg(F.min("mid").alias("first_mid"), F.count(F.lit(1)).alias("n"))
+    return number_scans([scan], per_file)[0]
+
+
+def number_scans(scans: list[DataFrame], per_file: bool = False) -> list[DataFrame]:
+    """The same for scans of different files under one numbering."""
+    counts = [scan.groupBy("file", "block").agg(F.min("mid").alias("first_mid"), F.count(F.lit(1)).alias("n")) for scan in scans]
+    splits = counts[0]
+    for more in counts[1:]:
+        splits = splits.unionByName(more)
     by = Window.partitionBy("file").orderBy("block") if per_file else Window.orderBy("file", "block")
     before = by.rowsBetween(Window.unboundedPreceding, -1)
     offsets = cut_lineage(
@@ -43,10 +51,8 @@ def number_rows(scan: DataFrame, per_file: bool = False) -> DataFrame:
     )
     if offsets.count() <= BROADCAST_SPLITS:
         offsets = F.broadcast(offsets)
-    kept = [c for c in scan.columns if c not in ("file", "block", "mid")]
-    return scan.join(offsets, ["file", "block"]).select(
-        (F.col("mid") - F.col("first_mid") + F.col("offset") + 1).alias("line"), *kept, "file"
-    )
+    line = (F.col("mid") - F.col("first_mid") + F.col("offset") + 1).alias("line")
+    return [scan.join(offsets, ["file", "block"]).select(line, *[c for c in scan.columns if c not in ("file", "block", "mid")], "file") for scan in scans]
 
 
 def read_lines(spark: SparkSession, paths, per_file: bool = False) -> DataFrame:
