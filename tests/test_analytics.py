@@ -307,6 +307,60 @@ def test_pairs_and_neighbours(spark):
     assert all(near[i] == sorted((j for j in distinct if j != i), key=lambda j: -sim[i, j])[:3] for i in distinct)
 
 
+def test_near_cells_hold_each_near_pair_once_and_few_copies(spark):
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(40, 24))
+    x = np.repeat(centers, 50, 0) + 0.12 * rng.normal(size=(2000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    folded = frame(spark, x).select(F.col("template_idx").alias("idx"), "vector", F.lit(1).cast("bigint").alias("copies"))
+    placed = SIM.place_near(folded, 2000, 0.1, ("copies",), block_rows=50)
+    cells = defaultdict(lambda: ([], []))
+    for r in placed.select("cell", "inner", "idx").collect():
+        cells[r["cell"]][not r["inner"]].append(r["idx"])
+    sim, met = x @ x.T, np.zeros((2000, 2000), int)
+    for inner, outer in cells.values():
+        met[np.ix_(inner, inner)] += 1
+        met[np.ix_(inner, outer)] += 1
+        met[np.ix_(outer, inner)] += 1
+    assert (met[(1 - sim) <= 0.1] == 1).all()
+    # A grid of blocks would copy each vector 40 times.
+    assert sum(len(a) + len(b) for a, b in cells.values()) < 6 * 2000
+    assert sorted(i for a, _ in cells.values() for i in a) == list(range(2000))
+
+
+@pytest.mark.parametrize("distance", [0.05, 0.6, 1.2, 2.0])
+def test_pairs_at_any_distance(spark, distance):
+    x = cloud(21, 70)
+    x[5] = 0
+    x[6] = -x[20]
+    got = {(r["idx_a"], r["idx_b"]): r["similarity"] for r in SIM.cosine_pairs(frame(spark, x), distance, block_rows=6).collect()}
+    distinct = [0, *(i for i in range(1, 70) if not np.array_equal(x[i], x[0]))]
+    assert got.keys() == {(i, j) for i in distinct for j in distinct if i < j and 1 - x[i] @ x[j] <= distance}
+    assert SIM.cosine_pairs(frame(spark, x).limit(0), distance).collect() == []
+
+
+def test_sparse_pairs_equal_the_dense_grid(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choices(words, [1 / (k + 1) for k in range(40)], k=rng.randint(1, 9)))) for i in range(150)]
+    texts = spark.createDataFrame([*rows, (900, rows[3][1]), (901, "")], "template_idx bigint, template string")
+    weights = E.tfidf(texts, stop_words=[]).persist()
+    dense = E.dense_from_sparse(weights, texts).filter("template <> ''")
+    for distance in (0.2, 0.6, 0.9):
+        # Equal weights come from equal counts; their dense copies are equal too.
+        a, b = ({(r["idx_a"], r["idx_b"], r["copies_a"], r["copies_b"]): r["similarity"] for r in df.collect()} for df in (SIM.sparse_cosine_pairs(weights, distance), SIM.cosine_pairs(dense, distance)))
+        assert a.keys() == b.keys() and a and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+    with pytest.raises(ValueError):
+        SIM.sparse_cosine_pairs(weights, 1.0)
+
+
+def test_average_linkage_compares_only_what_changed(spark):
+    progress = []
+    C.average_linkage(frame(spark, cloud(8, 120)), block_rows=30, finish_at=10, progress=progress).collect()
+    assert len(progress) > 3 and progress[0]["compared"] == progress[0]["clusters"]
+    assert sum(p["distances"] for p in progress) < 0.9 * sum(p["clusters"] ** 2 for p in progress)
+
+
 def test_tfidf_and_outliers(spark):
     texts = ["disk error on node", "disk error on rack", "the of and", "login user", "disk disk login"]
     df = spark.createDataFrame(list(enumerate(texts)), "template_idx bigint, template string")
