@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from logloom.functions.vectors import dot, unit
 
 MAX_TERMS = 500
+# Terms whose tables may go to every task.
+BROADCAST_TERMS = 100_000
 _WORD = r"(?U)(\w+)"
 
 
@@ -28,7 +30,7 @@ def tfidf(texts: DataFrame, stop_words: list[str] | None = None, max_terms: int
 
     The ``max_terms`` most frequent terms stay, ties by name. They are found first,
     so that only their occurrences are shuffled by text; the term tables hold at most
-    ``max_terms`` rows, which is why they may be broadcast.
+    ``max_terms`` rows and are broadcast up to ``BROADCAST_TERMS`` of them.
     """
     stop = english_stop_words() if stop_words is None else list(stop_words)
     words = texts.select(
@@ -37,17 +39,19 @@ def tfidf(texts: DataFrame, stop_words: list[str] | None = None, max_terms: int
     if stop:
         words = words.filter(~F.col("term").isin(stop))
     kept = words.groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(max_terms)
+    small = F.broadcast if max_terms <= BROADCAST_TERMS else (lambda df: df)
     counts = (
-        words.join(F.broadcast(kept.select("term")), "term", "left_semi")
+        words.join(small(kept.select("term")), "term", "left_semi")
         .groupBy("template_idx", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
     df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     total = texts.agg(F.count(F.lit(1)).alias("n")).scalar()
     idf = F.ln((F.lit(1) + total) / (F.lit(1) + F.col("df"))) + 1
-    raw = counts.join(F.broadcast(df), "term").select("template_idx", "term", (F.col("tf") * idf).alias("w"))
-    # At most max_terms rows per text.
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("template_idx")))
+    raw = counts.join(small(df), "term").select("template_idx", "term", (F.col("tf") * idf).alias("w"))
+    # At most max_terms rows per text, summed in the order of terms: equal texts get equal weights to the last bit.
+    by_term = Window.partitionBy("template_idx").orderBy("term").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(by_term))
     return raw.select("template_idx", "term", (F.col("w") / norm).alias("weight"))
 
 
@@ -59,8 +63,8 @@ def sparse_distances(weights: DataFrame, texts: DataFrame) -> DataFrame:
     total = texts.agg(F.count(F.lit(1)).alias("n")).scalar()
     mean = weights.groupBy("term").agg((F.sum("weight") / total).alias("c"))
     length = mean.agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("l")).scalar()
-    # One row per kept term.
-    centroid = F.broadcast(mean.select("term", (F.col("c") / length).alias("c")))
+    # One row per kept term: its size decides the join.
+    centroid = mean.select("term", (F.col("c") / length).alias("c"))
     along = weights.join(centroid, "term").groupBy("template_idx").agg(F.sum(F.col("weight") * F.col("c")).alias("s"))
     return texts.join(along, "template_idx", "left").select(
         "template_idx", "template", (F.lit(1.0) - F.coalesce("s", F.lit(0.0))).alias("distance")
