@@ -441,6 +441,18 @@ def test_plans_stay_on_the_jvm_and_read_few_columns(spark, tmp_path):
     assert "IsNotNull(timestamp)" in text
 
 
+def test_fine_stamps_cost_what_they_report(spark):
+    """Many stamps and many events within one look-back: the stretches grow with the rows, the result with its pairs."""
+    rng = random.Random(8)
+    moments = [(e, 1_000_000 + 7 * i, 1) for i, e in enumerate(rng.choices(range(200), k=5000))] + [(999, 1_000_000 + 90 * i, 3) for i in range(20)]
+    rows = spark.createDataFrame(moments, "event_id int, t bigint, n bigint")
+    busy = B.busy_intervals(rows, 30, 1000).collect()
+    assert busy and {r["event_id"] for r in busy} == {999} and len(busy) <= 3 * 20
+    for r in busy:
+        for at in (r["start"], r["end"] - 1):
+            assert sum(n for e, t, n in moments if e == 999 and at - 1000 <= t <= at) == r["count"]
+
+
 def test_one_event_with_a_third_of_the_rows(spark):
     """A hot event, second and message give the same results as their definition."""
     rows = sorted([(1000, 1, "Error")] * 500 + [(i * 3, 2 + i % 4, "Info") for i in range(1000)])
