@@ -306,13 +306,17 @@ def mine_templates(
     keys = ["n_tok", "block"]
     known = accepted = None
     rounds = 0
-    while True:
-        most = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-        if most is None:
-            break
-        if rounds >= split_after and most > batch:
-            left = cut_lineage(_component_blocks(left, accepted, threshold, batch), "left")
-            most = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+
+    def largest_block() -> int:
+        return left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+
+    most = largest_block()
+    while most:
+        if known is not None:
+            if rounds >= split_after and most > batch:
+                left = cut_lineage(_component_blocks(left, accepted, threshold, batch), "left")
+                most = largest_block()
+            known = cut_lineage(known.join(accepted.select("founder").distinct(), "founder", "left_semi").select("n_tok", "founder", "tokens"), "known")
         rounds += 1
         # A short first batch: most logs repeat a few shapes, which it finds.
         limit = batch if most <= batch or rounds > 1 else max(1, batch // 4)
@@ -347,11 +351,14 @@ def mine_templates(
         accepted = cut_lineage(now, "accepted")
         # The oldest cluster that takes an array: if it covers it, no turn of another array matters.
         oldest = accepted.groupBy("first_line").agg(F.min(F.struct("founder", "covered")).alias("home"))
-        covered = cut_lineage(oldest.filter("home.covered").select(F.col("first_line").alias("id"), F.col("home.founder").alias("founder")), "covered")
-        members.append(covered)
-        left = cut_lineage(rest.join(covered.select(F.col("id").alias("first_line")), "first_line", "left_anti").select("n_tok", "block", "first_line", "tokens"), "left")
-        accepted = accepted.join(covered.select(F.col("id").alias("first_line")), "first_line", "left_anti")
-        known = cut_lineage(fresh.join(accepted.select("founder").distinct(), "founder", "left_semi").select("n_tok", "founder", "tokens"), "known")
+        home = F.when(F.col("home.covered"), F.col("home.founder")).alias("founder")
+        tested = cut_lineage(rest.join(oldest, "first_line", "left").select("n_tok", "block", "first_line", "tokens", home), "tested")
+        covered = tested.filter("founder IS NOT NULL")
+        members.append(covered.select(F.col("first_line").alias("id"), "founder"))
+        left = tested.filter("founder IS NULL").drop("founder")
+        accepted = accepted.join(covered.select("first_line"), "first_line", "left_anti")
+        known = fresh
+        most = largest_block()
 
     def together(parts):
         out = parts[0]
@@ -380,11 +387,13 @@ def mine_templates(
 
 def _frequent(mined: MinedTemplates, share: float, most: int) -> DataFrame | None:
     """The token arrays that hold more than ``share`` of all lines each, at most ``most`` and none of great length; None without."""
-    total = mined.assignments.agg(F.sum("rows")).first()[0] or 0
+    rows = mined.assignments
+    total = rows.agg(F.sum("rows").alias("total")).scalar()
     short = F.length(F.array_join("tokens", " ")) <= FREQUENT_CHARS
-    hot = mined.assignments.filter(short & (F.col("rows") > share * total)).orderBy(F.desc("rows"), "event_id").limit(most)
-    hot = cut_lineage(hot, "frequent")
-    return None if hot.isEmpty() else hot
+    hot = rows.withColumn("total", total).filter(short & (F.col("rows") > share * F.col("total")))
+    # Bounded by ``most`` rows of ``FREQUENT_CHARS`` characters.
+    found = hot.orderBy(F.desc("rows"), "event_id").limit(most).select("tokens", "token_hash", "event_id").collect()
+    return rows.sparkSession.createDataFrame(found, "tokens array<string>, token_hash bigint, event_id bigint") if found else None
 
 
 def attach_templates(entries: DataFrame, mined: MinedTemplates, *, frequent_share: float = FREQUENT_SHARE, most_frequent: int = MOST_FREQUENT) -> DataFrame:
