@@ -1,4 +1,6 @@
+import csv
 import os
+import random
 from datetime import datetime
 
 import pytest
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from logloom.functions.severity import infer_level
 from logloom.functions.text import fixed, is_variable, mask_tokens, masked_template, merge_tokens, strip, tokenize
 from logloom.schema import ENTRY_COLUMNS, from_micros, micros
+from logloom.sources.csv_records import ends_inside
 from logloom.sources.detect import detect_format, read_entries, score_format
 from logloom.sources.lines import read_lines
 from logloom.sources.parsers import parse_servicing, parse_syslog
@@ -319,3 +322,34 @@ def test_csv_files_go_by_their_own_header(spark, tmp_path, multi_line):
     rows = read_csv(spark, str(tmp_path), multi_line=multi_line).orderBy("line").collect()
     assert [(r["line"], r["message_raw"], r["timestamp"].second) for r in rows] == [(1, "one", 0), (2, "two", 1), (3, "three", 2), (4, "four", 3)]
     assert rows[3]["level"] == "error"
+
+
+@pytest.mark.parametrize(
+    "line, inside, want",
+    [("a,b", False, False), ("a,b", True, True), ('a,"b', False, True), ('b",c', True, False), ('"a","b ""c', False, True), ('c"" d",', True, False)]
+    + [('x 5" y,z', False, False), ('"a"b,c', False, False), ('""', False, False), ('"""', False, True), ('a," b', False, True), ('b" ,"c', True, True), ('"x"\r', False, False)],
+)
+def test_open_quotes_at_the_end_of_a_line(line, inside, want):
+    assert ends_inside(line, inside) is want
+
+
+def test_records_with_line_breaks_are_read_by_many_tasks(spark, tmp_path):
+    rng = random.Random(4)
+    rows = []
+    for i in range(3000):
+        text = "".join(rng.choice(["a", "b c", ",", '"', "\n", "\r\n", "\n\n", "é", " "]) for _ in range(rng.randint(0, 12)))
+        rows.append((str(i), text if i != 1500 else "long\n" * 30_000))
+    with open(tmp_path / "a.csv", "w", newline="") as f:
+        out = csv.writer(f, lineterminator="\n", quoting=csv.QUOTE_MINIMAL)
+        out.writerow(["Component", "Content"])
+        out.writerows(rows)
+    write(tmp_path / "b.csv", 'content,component\n"last\none",3000')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 8192)
+    try:
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+        got = read_csv(spark, str(tmp_path)).orderBy("line").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    rows.append(("3000", "last\none"))
+    assert [r["line"] for r in got] == list(range(1, len(rows) + 1))
+    assert [(r["component"], r["message_raw"]) for r in got] == rows

@@ -207,3 +207,14 @@ def csv_folders_by_their_headers(spark, sf):
         rows = I.table(spark, sf, "events").filter(F.col("event_id") % 2 == odd).repartitionByRange(2, "event_id").sortWithinPartitions("event_id")
         rows.select(*columns).write.csv(f"{top}/half {odd}", header=True, escape='"')
     return read_csv(spark, [f"{top}/half 0", f"{top}/half 1"]).select("line", "timestamp", "message_raw", "pid")
+
+
+@query(sql(f"""SELECT row_number() OVER (ORDER BY event_id) AS line, date_trunc('second', ts) AS timestamp,
+ {I._SQL_MESSAGE} || chr(10) || chr(10) || 'then, "quoted"' || chr(10) AS message_raw FROM events"""))
+def csv_records_over_lines(spark, sf):
+    """CSV files whose messages have line breaks, blank lines and quotes inside."""
+    rows = I.table(spark, sf, "events").repartitionByRange(3, "event_id").sortWithinPartitions("event_id")
+    said = F.concat(F.expr(f"concat({I._MESSAGE})"), F.lit('\n\nthen, "quoted"\n'))
+    path = _folder(spark, "csv")
+    rows.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("Timestamp"), said.alias("Content")).write.csv(path, header=True, escape='"', quoteAll=True)
+    return read_csv(spark, path).select("line", "timestamp", "message_raw")
