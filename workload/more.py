@@ -216,5 +216,5 @@ def csv_records_over_lines(spark, sf):
     rows = I.table(spark, sf, "events").repartitionByRange(3, "event_id").sortWithinPartitions("event_id")
     said = F.concat(F.expr(f"concat({I._MESSAGE})"), F.lit('\n\nthen, "quoted"\n'))
     path = _folder(spark, "csv")
-    rows.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("Timestamp"), said.alias("Content")).write.csv(path, header=True, escape='"', quoteAll=True)
+    rows.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("Timestamp"), said.alias("Content")).write.csv(path, header=True, escape='"', quoteAll=True, ignoreTrailingWhiteSpace=False)
     return read_csv(spark, path).select("line", "timestamp", "message_raw")
