@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.common import as_text, id_and_text, steps, task_number
-from logloom.llm.tokens import encoder
+from logloom.llm.tokens import ENCODED_BYTES, encoder
 from logloom.operators.numbering import shared_folder
 
 # Sequences per record batch of a file.
@@ -98,7 +98,7 @@ def write_sequence_files(
         writer = sink = index_sink = index = None
         documents = 0
         index_schema = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
-        for batch in steps(batches):
+        for batch in steps(batches, limit=ENCODED_BYTES):
             ids, ends = encode.encode(as_text(batch.column("_text")))
             if writer is None:
                 sink, index_sink = (store.open_output_stream(d) for d in drafts)

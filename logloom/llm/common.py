@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Bytes of text that one step inside a task works on; a single longer text is a step of its own.
@@ -39,6 +41,14 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "_text", limit: int =
             stop = max(int(np.searchsorted(ends, before + limit, "right")), start + 1)
             yield batch.slice(start, stop - start)
             start = stop
+    give_back()
+
+
+def give_back() -> None:
+    """Memory that a task has freed goes back to the system; a Python worker serves many stages and would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # of the GNU C library only
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def lengths(column: pa.Array) -> np.ndarray:
@@ -106,20 +116,3 @@ def without_broken_characters(kept: bytes, cuts: list[int]) -> bytes:
                     break
         parts[i] = part
     return b"".join(parts)
-
-
-def mended(kept: Column, spans: Column) -> Column:
-    """The text of the bytes ``kept`` after ``spans`` (start, end in the whole text) were taken out, in whole characters."""
-
-    @F.arrow_udf("string")
-    def mend(kept: pa.Array, spans: pa.Array) -> pa.Array:
-        out = []
-        for data, removed in zip(kept.to_pylist(), spans.to_pylist(), strict=True):
-            cuts, gone = [], 0
-            for span in removed:
-                cuts.append(span["start"] - gone)
-                gone += span["end"] - span["start"]
-            out.append(without_broken_characters(data, cuts).decode("utf-8", "replace"))
-        return pa.array(out, pa.string())
-
-    return mend(kept, spans)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from logloom.llm.common import as_text, id_and_text, rows_of, steps, task_number
-from logloom.llm.tokens import encoder
+from logloom.llm.tokens import ENCODED_BYTES, encoder
 
 # Tokens that one run of the dynamic programme looks at.
 BLOCK_TOKENS = 1 << 20
@@ -144,7 +144,7 @@ def pack_documents(
         packer = Packer(length, ends, task_number()[0] << 33, block)
 
         def pieces() -> Iterator[tuple]:
-            for batch in steps(batches):
+            for batch in steps(batches, limit=ENCODED_BYTES):
                 ids, offsets = encode.encode(as_text(batch.column("_text")))
                 ids = np.insert(ids, offsets[1:], np.array(end_id, encode.type))
                 offsets = offsets + np.arange(len(offsets))

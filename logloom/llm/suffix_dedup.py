@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logloom.llm.common import id_and_text, joined_bytes, ragged, steps, task_number
+from logloom.llm.common import id_and_text, joined_bytes, ragged, steps, task_number, without_broken_characters
 from logloom.operators.numbering import shared_folder
 
 # Least length of a repeat, in bytes.
@@ -495,7 +495,7 @@ def _covered(row: dict, length: int, gram: int, buckets: int) -> tuple[Block, np
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
 
 
-def _results(row: dict, length: int, gram: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def _results(row: dict, length: int, gram: int, buckets: int, whole: bool) -> Iterator[pa.RecordBatch]:
     block, gone = _covered(row, length, gram, buckets)
     offsets = block.offsets
     padded = np.concatenate([[False], gone, [False]])
@@ -520,6 +520,11 @@ def _results(row: dict, length: int, gram: int, buckets: int) -> Iterator[pa.Rec
         first_span, first_kept = (int(span_ends[a - 1]), int(kept_ends[a - 1])) if a else (0, 0)
         ids = block.ids[a:b]
         kept = [kept_flat[s:e] for s, e in zip([first_kept, *kept_ends[a : b - 1].tolist()], kept_ends[a:b].tolist(), strict=True)]
+        for k in np.flatnonzero(per_doc[a:b]).tolist() if whole else []:
+            own = slice(int(span_ends[a + k] - per_doc[a + k]), int(span_ends[a + k]))
+            size = ends[own] - starts[own]
+            cuts = starts[own] - offsets[a + k] - (np.cumsum(size) - size)
+            kept[k] = without_broken_characters(kept[k], cuts.tolist())
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(ids, mask=ids == NO_ID),
@@ -580,6 +585,7 @@ def remove_repeats(
     sort_bytes: int = SORT_BYTES,
     hot: int = HOT,
     carry: list[str] | None = None,
+    whole_characters: bool = False,
 ) -> DataFrame:
     """``doc_id, n_bytes, n_removed, spans, kept, carried``: each text without what earlier documents have as well.
 
@@ -587,7 +593,8 @@ def remove_repeats(
     with a smaller id; strings are judged on the input. ``spans`` are the maximal removed
     runs (byte positions), ``kept`` the remaining bytes. Null text counts as empty; rows
     with one id do not remove each other; a null id is larger than any other. A row per
-    input row; ``carried`` has the columns named in ``carry`` and whether the text was null.
+    input row; ``carried`` has the columns named in ``carry`` and whether the text was null. With
+    ``whole_characters``, bytes of characters that a cut has broken are left out of ``kept`` too.
 
     Every window of ``length`` bytes belongs to the smallest hash of its grams, so equal windows
     meet in one bucket and most hashes can be told to occur in one document only. Just the
@@ -619,7 +626,7 @@ def remove_repeats(
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                yield from _results(batch.slice(k, 1).to_pylist()[0], length, gram, buckets)
+                yield from _results(batch.slice(k, 1).to_pylist()[0], length, gram, buckets, whole_characters)
 
     result = T.StructType.fromDDL(RESULT).add("carried", rows.schema["_carried"].dataType)
     return ready.mapInArrow(finish, result)

@@ -14,7 +14,9 @@ import pyarrow.compute as pc
 from logloom.llm.common import joined_bytes, ragged
 
 # Pieces that one Python worker remembers at most; the older half goes beyond it. Longer pieces are not kept.
-CACHED_PIECES, CACHED_BYTES = 500_000, 64
+CACHED_PIECES, CACHED_BYTES = 300_000, 64
+# Bytes of text that are cut into pieces at a time; the arrays for that take some thirty times as much.
+ENCODED_BYTES = 2 << 20
 # Fixed value: the word pattern of the tokenizer file that pieces are cut by.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # Pieces that are one word of the pattern: ASCII signs, or ASCII and Latin letters after an apostrophe or none.
