@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm.common import mended, table
+from logloom.llm.common import table
 from logloom.llm.language_id import UNDECIDED, fit, language_column
 from logloom.llm.packing import pack_documents
 from logloom.llm.queries import WORD_BPE, held_out
@@ -46,9 +46,9 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Passages that a document with a smaller id has as well are cut out; documents left with nothing go."""
     ship(spark)
     others = [c for c in docs.columns if c != "text"]
-    cut = remove_repeats(docs, carry=others)
     # A cut can fall inside a character; what is left of it goes too.
-    text = F.when(F.col("carried.no_text"), None).otherwise(mended(F.col("kept"), F.col("spans")))
+    cut = remove_repeats(docs, carry=others, whole_characters=True)
+    text = F.when(F.col("carried.no_text"), None).otherwise(F.make_valid_utf8(F.col("kept").cast("string")))
     left = cut.withColumn("text", text).filter((F.col("n_removed") == 0) | (F.length("text") > 0))
     columns = [F.col("text") if c == "text" else F.col("carried").getField(f"c_{c}").alias(c) for c in docs.columns]
     return _with_size(left.select(*columns))
