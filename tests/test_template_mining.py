@@ -16,6 +16,7 @@ from logloom.operators.templates import (
     template_catalogue,
     template_versions,
 )
+from logloom.sources.detect import read_numbered
 
 W = "<*>"
 
@@ -163,9 +164,15 @@ def test_frequent_messages_stay_where_they_are(spark):
     assert "LeftAnti" in physical
 
 
-def test_lines_that_are_unique_are_not_shuffled(spark, monkeypatch):
-    rows = spark.createDataFrame([(1, "a b c d"), (1, "a b c e")], "line bigint, message_raw string")
-    assert mine_templates(rows, lines_are_unique=True).assignments.count() == 2
+def test_own_line_numbers_need_no_check(spark, tmp_path):
+    (tmp_path / "a.log").write_text("Jun 14 15:16:01 combo sshd[1]: hi there you all\n" * 3)
+    (tmp_path / "b.csv").write_text("lineid,content\n1,a\n1,b\n")
+    entries, unique = read_numbered(spark, str(tmp_path / "a.log"), 2024)
+    assert unique and mine_templates(entries, lines_are_unique=unique).assignments.first()["rows"] == 3
+    entries, unique = read_numbered(spark, str(tmp_path / "b.csv"))
+    assert not unique
+    with pytest.raises(ValueError, match="lines repeat"):
+        mine_templates(entries, lines_are_unique=unique)
 
 
 def test_versions_and_catalogue(spark):
