@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -462,3 +463,53 @@ def test_one_event_with_a_third_of_the_rows(spark):
     assert {r["event_id"]: r["count"] for r in S.template_stats(df).collect()}[1] == 500
     top = W.top_events(df).filter(F.col("bin") == W.bin_number(F.lit(T0 + timedelta(seconds=1000)).cast("timestamp_ntz"), 5)).first()
     assert top["top_events"][0]["count"] == 500
+
+
+def test_cells_that_rule_nothing_out_make_no_copies(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    folded = frame(spark, x).select(F.col("template_idx").alias("idx"), "vector", F.lit(1).cast("bigint").alias("copies"))
+    assert SIM.place_near(folded, 600, 0.6, ("copies",), block_rows=8).count() == 600
+    got = {(r["idx_a"], r["idx_b"]) for r in SIM.cosine_pairs(frame(spark, x), 0.6, block_rows=8).collect()}
+    sim = x @ x.T
+    assert got == {(i, j) for i in range(600) for j in range(i + 1, 600) if 1 - sim[i, j] <= 0.6}
+
+
+@pytest.mark.parametrize("task_rows", [40, 150])
+def test_sets_of_rows_in_tiles_give_the_same(spark, monkeypatch, task_rows):
+    # Cells with copies, some sets a cell and some tiles a task, whose rows are folded on the way.
+    monkeypatch.setattr(SIM, "ROW_COST", 0)
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.normal(size=(6, 16)), 50, 0) + 0.35 * rng.normal(size=(300, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    sim, df = x @ x.T, frame(spark, x)
+    folded = df.select(F.col("template_idx").alias("idx"), "vector", F.lit(1).cast("bigint").alias("copies"))
+    assert SIM.place_near(folded, 300, 0.1, ("copies",), 20, task_rows).filter(~F.col("inner")).count()
+    got = {(r["idx_a"], r["idx_b"]) for r in SIM.cosine_pairs(df, 0.1, block_rows=20, task_rows=task_rows).collect()}
+    assert got == {(i, j) for i in range(300) for j in range(i + 1, 300) if 1 - sim[i, j] <= 0.1}
+    near = {}
+    for r in SIM.nearest_vectors(df, 3, block_rows=20, task_rows=task_rows).collect():
+        near[r["idx"], r["rank"]] = r["other"]
+    np.fill_diagonal(sim, -2)
+    assert near == {(i, k + 1): j for i in range(300) for k, j in enumerate(np.argsort(-sim[i], kind="stable")[:3])}
+    labels = [C.dbscan(df, 0.1, 4, block_rows=b, task_rows=t).orderBy("template_idx").collect() for b, t in ((20, task_rows), (300, 300))]
+    assert labels[0] == labels[1] and len({r["cluster"] for r in labels[0]}) > 2
+    trees = [sorted((r["a"], r["b"], r["size"]) for r in C.average_linkage(df, b, 200, task_rows=t).collect()) for b, t in ((20, task_rows), (300, 300))]
+    assert trees[0] == trees[1]
+
+
+def test_links_of_tiles_fold_to_a_forest():
+    rng = np.random.default_rng(4)
+    u, v = rng.integers(0, 400, 300), rng.integers(0, 400, 300)
+    found = pd.DataFrame({"u": np.r_[u, 900, 900], "v": np.r_[v, u[0], v[0]], "border": np.r_[np.zeros(300, bool), True, True]})
+    found = found[found["u"] != found["v"]]
+    root = np.arange(400)
+    for _ in range(400):
+        for a, b in zip(u, v):
+            root[a] = root[b] = min(root[a], root[b])
+    got = C._forest(found)
+    trees = got[~got["border"]]
+    assert sorted(zip(trees["u"], trees["v"])) == [(i, r) for i, r in enumerate(root) if i != r]
+    assert got[got["border"]].values.tolist() == [[900, root[u[0]], True]]
+    assert C._forest(got).values.tolist() == got.values.tolist()
