@@ -513,3 +513,20 @@ def test_links_of_tiles_fold_to_a_forest():
     assert sorted(zip(trees["u"], trees["v"])) == [(i, r) for i, r in enumerate(root) if i != r]
     assert got[got["border"]].values.tolist() == [[900, root[u[0]], True]]
     assert C._forest(got).values.tolist() == got.values.tolist()
+
+
+def test_sparse_pairs_in_tiles_count_each_pair_once(spark, monkeypatch):
+    # Few frequent terms: all lists are long, and most pairs share several of them.
+    monkeypatch.setattr(SIM, "TILE", 64)
+    monkeypatch.setattr(SIM, "TERMS", 2)
+    rng = np.random.default_rng(6)
+    x = rng.integers(1, 4, size=(90, 7)) * (rng.random((90, 7)) < 0.6).astype(float)
+    x = np.unique(x[x.any(1)], axis=0)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, f"t{j}", float(w)) for i, r in enumerate(x) for j, w in enumerate(r) if w]
+    weights = spark.createDataFrame(rows, "template_idx bigint, term string, weight double")
+    sim = x @ x.T
+    for distance in (0.05, 0.3, 0.8):
+        got = [(r["idx_a"], r["idx_b"]) for r in SIM.sparse_cosine_pairs(weights, distance, block_rows=4, task_rows=16).collect()]
+        assert len(got) == len(set(got))
+        assert set(got) == {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if 1 - sim[i, j] <= distance}
