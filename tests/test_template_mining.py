@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from logloom.operators.components import connected_components
 from logloom.operators.mining_checks import first_fit_violations
 from logloom.operators.templates import (
+    _last_lines,
     MinedTemplates,
     attach_templates,
     distinct_templates,
@@ -230,3 +231,21 @@ def test_repeated_lines_are_an_error(spark):
     rows = spark.createDataFrame([(1, "a b c d e f g h i"), (1, "a b c d e f g h i j k l")], "line bigint, message_raw string")
     with pytest.raises(ValueError, match="lines repeat"):
         mine_templates(rows)
+
+
+@pytest.mark.parametrize("deal", [40, 1000])
+def test_a_batch_is_cut_without_sorting_a_block_in_one_task(spark, deal):
+    rows = [(5, 0, 7 * i % 5003) for i in range(900)] + [(6, 1, 10_000 + i) for i in range(20)]
+    left = spark.createDataFrame(rows, "n_tok int, block bigint, first_line bigint")
+    last = {(r["n_tok"], r["block"]): r["last"] for r in _last_lines(left, ["n_tok", "block"], 900, 60, deal).collect()}
+    ordered = sorted(r[2] for r in rows if r[0] == 5)
+    assert last == {(5, 0): ordered[59], (6, 1): 10_019}
+
+
+def test_skewed_deals_give_a_shorter_batch_without_gaps(spark):
+    # All lines that the hash deals to one of nine.
+    found = spark.range(20_000).filter("pmod(xxhash64(id), 9) = 3").limit(900)
+    left = found.selectExpr("5 n_tok", "0L block", "id first_line")
+    last = _last_lines(left, ["n_tok", "block"], 900, 300, 100).first()["last"]
+    ordered = sorted(r["first_line"] for r in left.collect())
+    assert last in ordered[:300] and ordered.index(last) >= 60
