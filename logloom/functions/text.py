@@ -15,15 +15,19 @@ def strip(col: Column) -> Column:
     return F.regexp_replace(col, P.OUTER_BLANKS, "")
 
 
-def match_groups(col: Column, pattern: str, n: int) -> Column:
+def split_groups(col: Column, pattern: str, n: int) -> Column:
+    """The groups of a whole-line pattern in one pass, for :func:`match_groups`: the line is rewritten to its groups, and split."""
+    return F.split(F.regexp_replace(col, pattern, _SEP.join(f"${i + 1}" for i in range(n))), _SEP, n)
+
+
+def match_groups(col: Column, pattern: str, n: int, once: Column | None = None) -> Column:
     """The ``n`` groups of a whole-line pattern as one array; null without a match.
 
-    The regex runs once per line: it rewrites the line to its groups, joined by a
-    separator, and the split undoes the join. Only lines that hold the separator
-    themselves take the group-by-group way.
+    The regex rewrites the line to its groups, joined by a separator, and the split undoes the join.
+    Only lines that hold the separator themselves take the group-by-group way. ``once`` is a column of
+    :func:`split_groups`, selected before: an expression inside a condition would run twice per line.
     """
-    joined = F.regexp_replace(col, pattern, _SEP.join(f"${i + 1}" for i in range(n)))
-    once = F.split(joined, _SEP, n)
+    once = split_groups(col, pattern, n) if once is None else once
     each = F.when(
         col.rlike(pattern),
         F.array(*[F.regexp_extract(col, pattern, i + 1) for i in range(n)]),
@@ -53,7 +57,7 @@ def masked_template(message: Column) -> Column:
 
     The same as joining ``mask_tokens(tokenize(message))``, in one pass over the text.
     """
-    spaced = F.trim(F.regexp_replace(_without_stamps(message), P.BLANKS, " "))
+    spaced = F.trim(F.regexp_replace(_without_stamps(message), P.UNEVEN_BLANKS, " "))
     return F.regexp_replace(spaced, P.VARIABLE_WORD, P.WILDCARD)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions import patterns as P
 from logloom.functions.severity import infer_level
-from logloom.functions.text import match_groups, strip
+from logloom.functions.text import match_groups, split_groups, strip
 from logloom.schema import as_entries
 
 # month names as they appear in syslog lines
@@ -56,7 +56,8 @@ def _entries(df: DataFrame, source: str, level: Column) -> DataFrame:
 def _fields(lines: DataFrame, pattern: str, n: int, timestamp: Column, **parts: Column) -> DataFrame:
     # Step by step: a projection whose columns are used several times is kept apart by
     # the optimizer, so the regex and the strip run once per line.
-    groups = lines.select("line", "text", match_groups(F.col("text"), pattern, n).alias("g"))
+    once = lines.select("line", "text", split_groups(F.col("text"), pattern, n).alias("once"))
+    groups = once.select("line", "text", match_groups(F.col("text"), pattern, n, F.col("once")).alias("g"))
     matched = F.col("g").isNotNull()
     return groups.select(
         "line",

@@ -14,6 +14,7 @@ from logloom.operators.templates import masked_template_ids
 from logloom.sources.parsers import parse_servicing, parse_syslog
 
 YEAR = 2024
+TASK_ROWS = 50_000
 STOP_WORDS = ("the", "a", "an", "and", "or", "of", "to", "in", "is", "for", "on", "with", "by", "at", "as", "be", "it")
 
 _MESSAGE = """case event_type when 'error' then 'request FAILED for' when 'signup' then 'WARNING slow signup by'
@@ -23,10 +24,13 @@ _VALUES = """ ' path /v1/', event_type, ' cost ', cast(cast(value as decimal(18,
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A test table. One small file is one task: it is spread over the cores before any text work."""
+    """A test table, spread before any text work: one small file is one task, and a row of numbers grows into a line of text.
+
+    A task gets ``TASK_ROWS`` rows at most, so that it takes as long whatever the size of the table.
+    """
     df = spark.read.parquet(f"{folder}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    tasks = max(spark.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
 
 
 def log_syslog(spark: SparkSession, folder: str, suffix: str = "''") -> DataFrame:
