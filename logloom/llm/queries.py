@@ -72,7 +72,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0").select("doc_id")
-    return score_documents(table(spark, sf_dir, "documents"), good)
+    return score_documents(table(spark, sf_dir, "documents"), good, tokenizer=public_tokenizers.path(WORD_BPE))
 
 
 def held_out() -> F.Column:

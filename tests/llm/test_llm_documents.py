@@ -7,9 +7,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from logloom.llm import language_id, lm_score, queries, simhash, suffix_dedup
 from logloom.llm.language_id import fit, gradients, identify, labelled, new_network, pooled, states, windows_of
@@ -375,6 +377,71 @@ def test_scores_against_definition(spark, monkeypatch, most_ids):
             assert r["target_loss"] is None and r["score"] is None
 
 
+def brute_token_loss(train, ids, symbols):
+    """Bits per id of the same model over lists of ids, straight from its definition."""
+    seen = [{}, {}, {}]
+    for t in train:
+        line = [None, None, *t]
+        for k in range(2, len(line)):
+            for n in range(3):
+                counts = seen[n].setdefault(tuple(line[k - n : k]), {})
+                counts[line[k]] = counts.get(line[k], 0) + 1
+
+    def p(line, k):
+        value = 1 / symbols
+        for n in range(3):
+            counts = seen[n].get(tuple(line[k - n : k]), {})
+            kinds = max(len(counts), 1)
+            value = (counts.get(line[k], 0) + kinds * value) / (sum(counts.values()) + kinds)
+        return value
+
+    line = [None, None, *ids]
+    return -sum(np.log2(p(line, k)) for k in range(2, len(line))) / len(ids)
+
+
+@pytest.mark.parametrize("part_ids", [3, 1 << 20])
+def test_token_scores_against_definition(spark, monkeypatch, part_ids):
+    monkeypatch.setattr(lm_score, "PART_IDS", part_ids)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    rows = [(1, "the cat sat on the mat"), (2, "the cat"), (3, "the hat é sat, the cat"), (4, ""), (5, None), (6, " \n"), (2, "again the cat sat"), (None, "no id")]
+    ids = [library.encode(t or "", add_special_tokens=False).ids for _, t in rows]
+    target = spark.createDataFrame([(2,), (3,), (3,), (77,), (None,)], "doc_id bigint")
+    got = score_documents(frame(spark, rows), target, tokenizer=path).collect()
+    inside = [t for t, (i, _) in zip(ids, rows, strict=True) if i in (2, 3)]
+    assert len(got) == len(rows)
+    by = {(r["doc_id"], r["n_tokens"]): r for r in got}
+    for (i, _), t in zip(rows, ids, strict=True):
+        r = by[i, len(t)]
+        if t:
+            own, other = (brute_token_loss(train, t, library.get_vocab_size()) for train in (inside, ids))
+            assert abs(r["target_loss"] - own) < 1e-4 and abs(r["background_loss"] - other) < 1e-4 and abs(r["score"] - own + other) < 1e-4
+        else:
+            assert r["target_loss"] is None and r["background_loss"] is None and r["score"] is None
+
+
+def test_counts_travel_whole():
+    columns = [np.array([0, 65534, 65535, 65536, 1 << 40]), np.array([], np.int64), np.array([7, 1 << 62])]
+    data = pa.scalar(lm_score._packed(*columns))
+    assert [c.tolist() for c in lm_score._unpacked(data, 5, 0, 2)] == [c.tolist() for c in columns]
+
+
+def test_token_scores_without_target_and_without_rows(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    nobody = spark.createDataFrame([], "doc_id bigint")
+    got = score_documents(frame(spark, [(1, "abc")]), nobody, tokenizer=path).collect()
+    assert abs(got[0]["target_loss"] - np.log2(Tokenizer.from_file(path).get_vocab_size())) < 1e-5
+    assert score_documents(spark.createDataFrame([], NOTHING), nobody, tokenizer=path).collect() == []
+
+
+def test_score_query_counts_tokens_in_tables(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()}
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = queries.op8_lm_score(spark, SMALL).collect()
+    assert len(got) == len(texts)
+    assert all(r["n_tokens"] == len(library.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids) for r in got)
+
+
 def test_scores_without_target_and_without_rows(spark):
     nobody = spark.createDataFrame([], "doc_id bigint")
     got = score_documents(frame(spark, [(1, "abc")]), nobody).collect()
