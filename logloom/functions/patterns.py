@@ -44,6 +44,8 @@ _BLANK = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3
 BLANKS = _BLANK + "+"
 # the same except a single space, which already is what blanks are replaced by
 UNEVEN_BLANKS = _BLANK + "{2,}|" + _BLANK.replace(r"\x20", r"\x1f")
+# what is no printable ASCII, so all blanks but the space among others
+NOT_PLAIN = r"[^ -~]"
 OUTER_BLANKS = f"^{_BLANK}+|{_BLANK}+$"
 
 # whole words that decide the severity of a message

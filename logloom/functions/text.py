@@ -12,7 +12,9 @@ _SEP = "\x01"
 
 def strip(col: Column) -> Column:
     """Drop outer white space of any Unicode kind (``trim`` drops blanks only)."""
-    return F.regexp_replace(col, P.OUTER_BLANKS, "")
+    plain = lambda c: F.ascii(c).between(33, 126)
+    # Between two printable characters there is nothing to search for.
+    return F.when(plain(col) & plain(F.substring(col, -1, 1)), col).otherwise(F.regexp_replace(col, P.OUTER_BLANKS, ""))
 
 
 def split_groups(col: Column, pattern: str, n: int) -> Column:
@@ -35,13 +37,31 @@ def match_groups(col: Column, pattern: str, n: int, once: Column | None = None)
     return F.when(F.contains(col, F.lit(_SEP)), each).otherwise(F.when(F.size(once) == n, once))
 
 
-def _without_stamps(message: Column) -> Column:
-    return F.regexp_replace(F.coalesce(message, F.lit("")), P.STAMP, f" {P.WILDCARD} ")
+def may_hold_stamp(message: Column) -> Column:
+    """Whether both separators of an embedded date and time occur: cheaper than its pattern, and mostly false."""
+    return F.contains(message, F.lit("/")) & F.contains(message, F.lit(":"))
+
+
+def spaced_words(message: Column) -> Column:
+    """The words of a message one blank apart; an embedded date and time becomes one wildcard word.
+
+    No word holds a blank, so equal texts are equal words.
+    """
+    text = F.coalesce(message, F.lit(""))
+    text = F.when(may_hold_stamp(text), F.regexp_replace(text, P.STAMP, f" {P.WILDCARD} ")).otherwise(text)
+    # Printable ASCII with single spaces, as most messages are, needs no search for other blanks.
+    uneven = F.contains(text, F.lit("  ")) | text.rlike(P.NOT_PLAIN)
+    return F.trim(F.when(uneven, F.regexp_replace(text, P.UNEVEN_BLANKS, " ")).otherwise(text))
+
+
+def words(spaced: Column) -> Column:
+    """The words of a text of :func:`spaced_words`. A split by one plain character compiles no pattern for the row."""
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def tokenize(message: Column) -> Column:
     """Words of a message; an embedded date and time becomes one wildcard word."""
-    return F.array_remove(F.split(_without_stamps(message), P.BLANKS), "")
+    return words(spaced_words(message))
 
 
 def is_variable(token: Column) -> Column:
@@ -57,8 +77,7 @@ def masked_template(message: Column) -> Column:
 
     The same as joining ``mask_tokens(tokenize(message))``, in one pass over the text.
     """
-    spaced = F.trim(F.regexp_replace(_without_stamps(message), P.UNEVEN_BLANKS, " "))
-    return F.regexp_replace(spaced, P.VARIABLE_WORD, P.WILDCARD)
+    return F.regexp_replace(spaced_words(message), P.VARIABLE_WORD, P.WILDCARD)
 
 
 def merge_tokens(left: Column, right: Column) -> Column:

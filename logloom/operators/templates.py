@@ -13,7 +13,8 @@ That looks sequential, but three facts make it a Spark job with the same result:
 
 Each round mines a bounded batch per block. An inverted index then joins the arrays that are left to
 the new and changed clusters: what its oldest taker covers leaves, and what takers remain is
-all that the next batch of a block needs to know.
+all that the next batch of a block needs to know. Where the first round leaves a few clusters per
+length, as most logs do, they go to the arrays instead, which then stay where they are.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions.patterns import STAMP, WILDCARD
-from logloom.functions.text import masked_template, tokenize
+from logloom.functions.text import masked_template, may_hold_stamp, spaced_words, tokenize, words
 from logloom.operators.components import connected_components
 from logloom.operators.numbering import cut_lineage, dense_number
 
@@ -34,6 +35,7 @@ BATCH = 20_000  # distinct arrays mined in order by one task and round
 SPLIT_AFTER = 1  # rounds before what is left is cut into components, after each further round
 DEAL = 500_000  # lines of a block that one task puts in order
 MASKS = 16  # sets of positions per length that have index keys of their own
+FEW = 16  # states of a length, at most, that are compared with its arrays where those are
 # A message with more than this share of all lines is joined where its lines are; so many of them, of so many characters, at most.
 FREQUENT_SHARE, MOST_FREQUENT, FREQUENT_CHARS = 0.001, 1000, 2000
 
@@ -73,7 +75,7 @@ def _never_joins(tokens: Column, threshold: float) -> Column:
 def _lone_rows(entries: DataFrame, threshold: float) -> DataFrame:
     # The two cheap tests come first: without them no token is a literal wildcard.
     message = F.col("message_raw")
-    can = F.contains(message, F.lit(WILDCARD)) | message.rlike(STAMP)
+    can = F.contains(message, F.lit(WILDCARD)) | (may_hold_stamp(message) & message.rlike(STAMP))
     tokens = tokenize(message)
     return entries.filter(can).filter((F.size(tokens) > 0) & _never_joins(tokens, threshold))
 
@@ -196,7 +198,7 @@ def _mine_first(threshold: float):
 class MinedTemplates:
     """Result of the mining, as DataFrames.
 
-    ``assignments(tokens, token_hash, rows, event_id)`` holds each distinct token array once;
+    ``assignments(tokens, token_hash, rows, event_id, text)`` holds each distinct token array once, and as spaced text;
     ``versions(event_id, valid_from, template)`` each template state with the line
     from which it holds; ``lone(line, event_id)`` the rows that are their own event, if any.
     """
@@ -274,6 +276,34 @@ def accepting(arrays: DataFrame, states: DataFrame, threshold: float, masks: int
     return taken.select("first_line", "founder", (F.col("apart") == wild).alias("covered"))
 
 
+def _few_states(states: DataFrame, few: int) -> DataFrame | None:
+    """``(n_tok, states)``, the states of a length in one list; None if a length has over ``few``."""
+    if (states.groupBy("n_tok").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) > few:
+        return None
+    # A wildcard agrees with nothing, and no word is empty.
+    apart = F.transform("tokens", lambda w: F.when(w == WILDCARD, "").otherwise(w))
+    # At most ``few`` entries in a list; stored: a row per length, whose size decides the join.
+    one = F.struct("founder", apart.alias("state"), _literal_wildcards(F.col("tokens")).alias("wild"))
+    return cut_lineage(states.groupBy("n_tok").agg(F.collect_list(one).alias("states")), "few")
+
+
+def _taken_where_they_are(arrays: DataFrame, few: DataFrame, threshold: float) -> DataFrame:
+    """``arrays`` with ``takers``, the pairs ``(founder, covered)`` that :func:`accepting` gives, without moving an array."""
+
+    def met(s: Column) -> Column:
+        apart = F.size(F.filter(F.zip_with("tokens", s["state"], lambda a, b: a != b), lambda x: x))
+        return F.struct(s["founder"].alias("founder"), apart.alias("apart"), s["wild"].alias("wild"))
+
+    fits = F.filter(F.transform("states", met), lambda s: F.lit(1.0) - s["apart"] / F.col("n_tok") >= F.lit(threshold))
+    takers = F.transform(fits, lambda s: F.struct(s["founder"].alias("founder"), (s["apart"] == s["wild"]).alias("covered")))
+    # The words are split below the join, so once and not for each state.
+    return arrays.join(few, "n_tok", "left").select(*arrays.columns, takers.alias("takers"))
+
+
+def _with_words(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("tokens", words(F.col("text")))
+
+
 def _component_blocks(left: DataFrame, accepted: DataFrame | None, threshold: float, batch: int) -> DataFrame:
     """``left`` with new blocks, so that arrays of different blocks can never share a cluster.
 
@@ -282,7 +312,7 @@ def _component_blocks(left: DataFrame, accepted: DataFrame | None, threshold: fl
     length as there are half batches; a hash that joins two components costs time, not correctness.
     ``single`` arrays are linked to nothing: each is a cluster of its own that takes no other.
     """
-    keys = left.select("first_line", F.explode(_segment_keys(F.col("tokens"), threshold)).alias("key"))
+    keys = _with_words(left).select("first_line", F.explode(_segment_keys(F.col("tokens"), threshold)).alias("key"))
     # Stored: hashed once, read for the hubs and for the links to them.
     keys = cut_lineage(keys, "keys").filter("key IS NOT NULL")
     hubs = keys.groupBy("key").agg(F.min("first_line").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -294,7 +324,7 @@ def _component_blocks(left: DataFrame, accepted: DataFrame | None, threshold: fl
     placed = left.drop("block").join(sizes, "n_tok")
     placed = placed.join(components, placed["first_line"] == components["node"], "left")
     block = F.pmod(F.xxhash64(F.coalesce("component", "first_line")), F.col("n_blocks")).cast("bigint")
-    return placed.select("n_tok", block.alias("block"), "first_line", "tokens", F.col("component").isNull().alias("single"))
+    return placed.select("n_tok", block.alias("block"), "first_line", "text", "rows", F.col("component").isNull().alias("single"))
 
 
 def _scattered(left: DataFrame, mined: DataFrame, limit: int) -> DataFrame:
@@ -342,13 +372,16 @@ def mine_templates(
         repeated = entries.groupBy("line").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         if not repeated.isEmpty():
             raise ValueError("lines repeat: number the lines of all files together before mining")
-    tokens = entries.select("line", tokenize(F.col("message_raw")).alias("tokens"))
-    arrays = tokens.groupBy("tokens").agg(F.min("line").alias("first_line"), F.count(F.lit(1)).alias("rows"))
+    # Arrays move and are stored as text, which takes a third of the room; they are split where their words count.
+    texts = entries.select("line", spaced_words(F.col("message_raw")).alias("text"))
+    arrays = texts.groupBy("text").agg(F.min("line").alias("first_line"), F.count(F.lit(1)).alias("rows"))
     # Both marks are stored: as filters before the store they would repeat the split into words.
     n_tok = F.size("tokens")
     arrays = cut_lineage(
-        arrays.select(
-            "*",
+        _with_words(arrays).select(
+            "text",
+            "first_line",
+            "rows",
             n_tok.alias("n_tok"),
             ((n_tok > 0) & ~_never_joins(F.col("tokens"), threshold)).alias("joins"),
             (tolerated(n_tok, threshold) < 1).alias("alone"),
@@ -359,12 +392,12 @@ def mine_templates(
 
     # Without tolerance every distinct array is a cluster of its own: nothing to mine.
     fixed = arrays.filter("alone")
-    members = [fixed.select(F.col("first_line").alias("id"), F.col("first_line").alias("founder"))]
-    versions = [
-        fixed.select(F.col("first_line").alias("founder"), F.col("first_line").alias("valid_from"), "tokens")
-    ]
+    own = [F.col("first_line").alias("founder"), F.col("first_line").alias("valid_from"), "tokens"]
+    members = []  # by the array's first line only
+    placed = [fixed.select("text", "rows", F.col("first_line").alias("founder"))]
+    versions = [_with_words(fixed).select(*own)]
 
-    left = arrays.filter("not alone").select("n_tok", F.lit(0).cast("bigint").alias("block"), "first_line", "tokens")
+    left = arrays.filter("not alone").select("n_tok", F.lit(0).cast("bigint").alias("block"), "first_line", "text", "rows")
     keys = ["n_tok", "block"]
     known = accepted = None
     rounds = 0
@@ -374,11 +407,11 @@ def mine_templates(
 
     def linked(rows: DataFrame, accepted: DataFrame | None) -> DataFrame:
         """``rows`` in blocks of components, without those that no other row can share a cluster with."""
-        placed = cut_lineage(_component_blocks(rows, accepted, threshold, batch), "left")
-        single = placed.filter("single").select(F.col("first_line").alias("founder"), F.col("first_line").alias("id"), "tokens")
-        members.append(single.select("id", "founder"))
-        versions.append(single.select("founder", F.col("id").alias("valid_from"), "tokens"))
-        return placed.filter("not single").drop("single")
+        blocks = cut_lineage(_component_blocks(rows, accepted, threshold, batch), "left")
+        single = blocks.filter("single")
+        placed.append(single.select("text", "rows", F.col("first_line").alias("founder")))
+        versions.append(_with_words(single).select(*own))
+        return blocks.filter("not single").drop("single")
 
     most = largest_block()
     while most:
@@ -398,6 +431,7 @@ def mine_templates(
             # One row per block, stored: its size decides the join.
             last = cut_lineage(_last_lines(left, keys, most, limit), "last")
             head = left.join(last, keys).filter(F.col("first_line") <= F.col("last")).select(left.columns)
+        head = _with_words(head).select(*keys, "first_line", "tokens")
         if known is None:
             mined = head.groupBy(*keys).applyInPandas(_mine_first(threshold), _MINED)
         else:
@@ -425,21 +459,33 @@ def mine_templates(
 
         fresh = cut_lineage(fresh.groupBy("n_tok", "founder").agg(F.max_by("tokens", "id").alias("tokens")), "fresh")
         rest = left.join(done.select(F.col("id").alias("first_line")), "first_line", "left_anti")
-        now = accepting(rest, fresh, threshold, masks)
-        if accepted is not None:
-            # What unchanged clusters would take is known from the rounds before.
-            old = accepted.join(fresh.select("founder"), "founder", "left_anti").join(rest.select("first_line"), "first_line", "left_semi")
-            now = now.unionByName(old)
-            fresh = known.join(fresh.select("founder"), "founder", "left_anti").unionByName(fresh)
-        accepted = cut_lineage(now, "accepted")
+        few = _few_states(fresh, FEW) if accepted is None else None
+        if few is not None:
+            # Each array is compared with the clusters of its length where it is.
+            rest = _taken_where_they_are(_with_words(rest), few, threshold).drop("tokens")
+            home = F.array_min("takers")
+        else:
+            now = accepting(_with_words(rest).select("n_tok", "first_line", "tokens"), fresh, threshold, masks)
+            if accepted is not None:
+                # What unchanged clusters would take is known from the rounds before.
+                old = accepted.join(fresh.select("founder"), "founder", "left_anti").join(rest.select("first_line"), "first_line", "left_semi")
+                now = now.unionByName(old)
+                fresh = known.join(fresh.select("founder"), "founder", "left_anti").unionByName(fresh)
+            accepted = cut_lineage(now, "accepted")
+            oldest = accepted.groupBy("first_line").agg(F.min(F.struct("founder", "covered")).alias("home"))
+            rest = rest.join(oldest, "first_line", "left")
+            home = F.col("home")
         # The oldest cluster that takes an array: if it covers it, no turn of another array matters.
-        oldest = accepted.groupBy("first_line").agg(F.min(F.struct("founder", "covered")).alias("home"))
-        home = F.when(F.col("home.covered"), F.col("home.founder")).alias("founder")
-        tested = cut_lineage(rest.join(oldest, "first_line", "left").select("n_tok", "block", "first_line", "tokens", home), "tested")
+        homes = F.when(home["covered"], home["founder"]).alias("founder")
+        more = [] if few is None else ["takers"]
+        tested = cut_lineage(rest.select("n_tok", "block", "first_line", "text", "rows", *more, homes), "tested")
         covered = tested.filter("founder IS NOT NULL")
-        members.append(covered.select(F.col("first_line").alias("id"), "founder"))
-        left = tested.filter("founder IS NULL").drop("founder")
-        accepted = accepted.join(covered.select("first_line"), "first_line", "left_anti")
+        placed.append(covered.select("text", "rows", "founder"))
+        left = tested.filter("founder IS NULL").drop("founder", "takers")
+        if few is None:
+            accepted = accepted.join(covered.select("first_line"), "first_line", "left_anti")
+        else:
+            accepted = cut_lineage(tested.filter("founder IS NULL").select("first_line", F.inline("takers")), "accepted")
         known = fresh
         most = largest_block()
 
@@ -449,34 +495,32 @@ def mine_templates(
             out = out.unionByName(part)
         return out
 
-    members, versions = together(members), together(versions)
+    versions = together(versions)
     lone = cut_lineage(_lone_rows(entries, threshold).select("line"), "lone")
     starts = versions.select(F.col("founder").alias("line")).distinct().unionByName(lone)
     ids = cut_lineage(dense_number(starts, "line", "event_id"), "ids").select(F.col("line").alias("founder"), "event_id")
-    assignments = (
-        arrays.join(members, arrays["first_line"] == members["id"])
-        .join(ids, "founder")
-        .select("tokens", F.xxhash64("tokens").alias("token_hash"), "rows", "event_id")
-    )
+    if members:
+        members = together(members)
+        placed.append(arrays.join(members, arrays["first_line"] == members["id"]).select("text", "rows", "founder"))
+    assignments = cut_lineage(together(placed).join(ids, "founder").select("text", "rows", "event_id"), "assignments")
+    assignments = _with_words(assignments).select("tokens", F.xxhash64("tokens").alias("token_hash"), "rows", "event_id", "text")
     versions = versions.join(ids, "founder").select("event_id", "valid_from", F.array_join("tokens", " ").alias("template"))
     if lone.isEmpty():
         lone = None
     else:
         lone = ids.withColumnRenamed("founder", "line").join(lone, "line", "left_semi")
-    return MinedTemplates(
-        cut_lineage(assignments, "assignments"), cut_lineage(versions, "versions"), lone, threshold, rounds
-    )
+    return MinedTemplates(assignments, cut_lineage(versions, "versions"), lone, threshold, rounds)
 
 
 def _frequent(mined: MinedTemplates, share: float, most: int) -> DataFrame | None:
     """The token arrays that hold more than ``share`` of all lines each, at most ``most`` and none of great length; None without."""
     rows = mined.assignments
     total = rows.agg(F.sum("rows").alias("total")).scalar()
-    short = F.length(F.array_join("tokens", " ")) <= FREQUENT_CHARS
+    short = F.length("text") <= FREQUENT_CHARS
     hot = rows.withColumn("total", total).filter(short & (F.col("rows") > share * F.col("total")))
     # Bounded by ``most`` rows of ``FREQUENT_CHARS`` characters.
-    found = hot.orderBy(F.desc("rows"), "event_id").limit(most).select("tokens", "token_hash", "event_id").collect()
-    return rows.sparkSession.createDataFrame(found, "tokens array<string>, token_hash bigint, event_id bigint") if found else None
+    found = hot.orderBy(F.desc("rows"), "event_id").limit(most).select("text", "event_id").collect()
+    return rows.sparkSession.createDataFrame(found, "text string, event_id bigint") if found else None
 
 
 def attach_templates(entries: DataFrame, mined: MinedTemplates, *, frequent_share: float = FREQUENT_SHARE, most_frequent: int = MOST_FREQUENT) -> DataFrame:
@@ -494,9 +538,9 @@ def attach_templates(entries: DataFrame, mined: MinedTemplates, *, frequent_shar
     numbered = cut_lineage(numbered, "numbered")
     starts = cut_lineage(numbered.groupBy("event_id").agg(F.array_sort(F.collect_list("valid_from")).alias("_starts")), "starts")
     kept = [c for c in entries.columns if c not in ("event_id", "template")]
-    base = entries.select(*kept, tokenize(F.col("message_raw")).alias("_tokens"))
+    base = entries.select(*kept, spaced_words(F.col("message_raw")).alias("_spaced"))
     if mined.lone is not None:
-        base = base.filter(~F.coalesce(_never_joins(F.col("_tokens"), mined.threshold), F.lit(False)))
+        base = base.filter(~F.coalesce(_never_joins(words(F.col("_spaced")), mined.threshold), F.lit(False)))
     version = F.size(F.filter("_starts", lambda s: s <= F.col("line")))
 
     def named(rows: DataFrame, starts: DataFrame, numbered: DataFrame) -> DataFrame:
@@ -504,9 +548,11 @@ def attach_templates(entries: DataFrame, mined: MinedTemplates, *, frequent_shar
         out = out.join(numbered.drop("valid_from"), ["event_id", "_version"], "left")
         return out.select(*kept, F.coalesce("event_id", F.lit(0).cast("bigint")).alias("event_id"), F.coalesce("_text", F.lit("")).alias("template"))
 
-    base = base.withColumn("_hash", F.xxhash64("_tokens"))
-    assigned = mined.assignments.select(F.col("token_hash").alias("_hash"), F.col("tokens").alias("_known"), "event_id")
-    same = [F.col("_hash") == F.col("_other"), F.col("_tokens") == F.col("_known")]
+    # The words as one text: no array is built for a row.
+    base = base.withColumn("_hash", F.xxhash64("_spaced"))
+    known = [F.xxhash64("text").alias("_hash"), F.col("text").alias("_known"), "event_id"]
+    assigned = mined.assignments.select(*known)
+    same = [F.col("_hash") == F.col("_other"), F.col("_spaced") == F.col("_known")]
 
     def by_words(rows: DataFrame, some: DataFrame, how: str) -> DataFrame:
         return rows.join(some.withColumnRenamed("_hash", "_other"), same, how)
@@ -515,12 +561,12 @@ def attach_templates(entries: DataFrame, mined: MinedTemplates, *, frequent_shar
     parts = []
     if hot is not None:
         # Bounded: ``most_frequent`` short messages; with them go the versions of as many events.
-        of_hot = F.broadcast(hot.select(F.col("token_hash").alias("_hash"), F.col("tokens").alias("_known"), "event_id"))
+        of_hot = F.broadcast(hot.select(*known))
         events = hot.select("event_id").distinct()
         hot_starts, hot_numbered = (F.broadcast(df.join(events, "event_id", "left_semi")) for df in (starts, numbered))
-        parts.append(named(by_words(base, of_hot, "inner").drop("_tokens", "_hash", "_other", "_known"), hot_starts, hot_numbered))
+        parts.append(named(by_words(base, of_hot, "inner").drop("_spaced", "_hash", "_other", "_known"), hot_starts, hot_numbered))
         base = by_words(base, of_hot.drop("event_id"), "left_anti")
-    parts.append(named(by_words(base, assigned, "left").drop("_tokens", "_hash", "_other", "_known"), starts, numbered))
+    parts.append(named(by_words(base, assigned, "left").drop("_spaced", "_hash", "_other", "_known"), starts, numbered))
     if mined.lone is not None:
         alone = _lone_rows(entries.select(*kept), mined.threshold).join(mined.lone, "line")
         parts.append(alone.select(*kept, "event_id", F.array_join(tokenize(F.col("message_raw")), " ").alias("template")))
