@@ -276,14 +276,19 @@ def accepting(arrays: DataFrame, states: DataFrame, threshold: float, masks: int
     return taken.select("first_line", "founder", (F.col("apart") == wild).alias("covered"))
 
 
-def _few_states(states: DataFrame, few: int) -> DataFrame | None:
+def _few_states(states: DataFrame, few: int, threshold: float) -> DataFrame | None:
     """``(n_tok, states)``, the states of a length in one list; None if a length has over ``few``."""
     if (states.groupBy("n_tok").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) > few:
         return None
     # A wildcard agrees with nothing, and no word is empty.
     apart = F.transform("tokens", lambda w: F.when(w == WILDCARD, "").otherwise(w))
+    wild = _literal_wildcards(F.col("tokens"))
+    # A state that has lost all it may only takes texts with its first words: a test that spares most comparisons.
+    at = F.array_position("tokens", WILDCARD).cast("int")
+    first = F.array_join(F.when(at > 0, F.slice("tokens", 1, at - 1)).otherwise(F.col("tokens")), " ")
+    start = F.when(wild >= tolerated(F.size("tokens"), threshold), first).otherwise("")
     # At most ``few`` entries in a list; stored: a row per length, whose size decides the join.
-    one = F.struct("founder", apart.alias("state"), _literal_wildcards(F.col("tokens")).alias("wild"))
+    one = F.struct("founder", apart.alias("state"), wild.alias("wild"), start.alias("start"))
     return cut_lineage(states.groupBy("n_tok").agg(F.collect_list(one).alias("states")), "few")
 
 
@@ -294,7 +299,8 @@ def _taken_where_they_are(arrays: DataFrame, few: DataFrame, threshold: float) -
         apart = F.size(F.filter(F.zip_with("tokens", s["state"], lambda a, b: a != b), lambda x: x))
         return F.struct(s["founder"].alias("founder"), apart.alias("apart"), s["wild"].alias("wild"))
 
-    fits = F.filter(F.transform("states", met), lambda s: F.lit(1.0) - s["apart"] / F.col("n_tok") >= F.lit(threshold))
+    near = F.filter("states", lambda s: F.startswith("text", s["start"]))
+    fits = F.filter(F.transform(near, met), lambda s: F.lit(1.0) - s["apart"] / F.col("n_tok") >= F.lit(threshold))
     takers = F.transform(fits, lambda s: F.struct(s["founder"].alias("founder"), (s["apart"] == s["wild"]).alias("covered")))
     # The words are split below the join, so once and not for each state.
     return arrays.join(few, "n_tok", "left").select(*arrays.columns, takers.alias("takers"))
@@ -338,9 +344,16 @@ def _scattered(left: DataFrame, mined: DataFrame, limit: int) -> DataFrame:
 def _last_lines(left: DataFrame, keys: list[str], most: int, limit: int, deal: int = DEAL) -> DataFrame:
     """``keys`` and ``last``: the line up to which a block has its first ``limit`` arrays, or somewhat fewer.
 
-    Only line numbers are put in order. A block, of ``most`` arrays at most, is dealt out by hash, each deal sends about
+    Only line numbers are put in order, and only those up to a bound: of the least lines of four times ``limit`` hashes,
+    the one that stands at ``limit`` has as many arrays up to it, and seldom many more. What is left of
+    a block, of ``most`` arrays at most, is dealt out by hash, each deal sends about
     twice its share, and what stands before the first line that was not sent is complete.
     """
+    least = left.groupBy(*keys, F.pmod(F.xxhash64("first_line", F.lit(1)), F.lit(4 * limit)).alias("_hash")).agg(F.min("first_line").alias("_least"))
+    at = F.row_number().over(Window.partitionBy(*keys).orderBy("_least"))
+    # A row per block, stored: its size decides the join.
+    bounds = cut_lineage(least.withColumn("_at", at).filter(F.col("_at") == limit).select(*keys, F.col("_least").alias("_bound")), "bounds")
+    left = left.join(bounds, keys, "left").filter(F.col("_bound").isNull() | (F.col("first_line") <= F.col("_bound")))
     deals = max(1, -(-most // deal))
     each = 2 * limit // deals + 100
     dealt = left.select(*keys, "first_line", F.pmod(F.xxhash64("first_line"), F.lit(deals)).alias("_deal"))
@@ -459,7 +472,7 @@ def mine_templates(
 
         fresh = cut_lineage(fresh.groupBy("n_tok", "founder").agg(F.max_by("tokens", "id").alias("tokens")), "fresh")
         rest = left.join(done.select(F.col("id").alias("first_line")), "first_line", "left_anti")
-        few = _few_states(fresh, FEW) if accepted is None else None
+        few = _few_states(fresh, FEW, threshold) if accepted is None else None
         if few is not None:
             # Each array is compared with the clusters of its length where it is.
             rest = _taken_where_they_are(_with_words(rest), few, threshold).drop("tokens")

@@ -35,10 +35,10 @@ def test_few_clusters_take_what_the_index_finds(spark, threshold):
     states = [(n, 1000 + i, words(n, 0.15)) for i, n in enumerate([4, 8] * 6)]
     states = spark.createDataFrame([s for s in states if s[2].count(W) <= most(s[0])], "n_tok int, founder bigint, tokens array<string>")
     want = sorted(map(tuple, T.accepting(arrays, states, threshold).collect()))
-    taken = T._taken_where_they_are(arrays, T._few_states(states, 6), threshold)
+    taken = T._taken_where_they_are(arrays.withColumn("text", F.array_join("tokens", " ")), T._few_states(states, 6, threshold), threshold)
     assert want and sorted(map(tuple, taken.select("first_line", F.inline("takers")).collect())) == want
     assert taken.count() == 400
-    assert T._few_states(states, 1) is None
+    assert T._few_states(states, 1, threshold) is None
 
 
 def test_many_and_few_clusters_match_model(spark, monkeypatch):
