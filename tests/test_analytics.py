@@ -530,3 +530,34 @@ def test_sparse_pairs_in_tiles_count_each_pair_once(spark, monkeypatch):
         got = [(r["idx_a"], r["idx_b"]) for r in SIM.sparse_cosine_pairs(weights, distance, block_rows=4, task_rows=16).collect()]
         assert len(got) == len(set(got))
         assert set(got) == {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if 1 - sim[i, j] <= distance}
+
+
+def test_lists_of_frequent_terms_are_one_cell(spark, monkeypatch):
+    # Every vector has most of the twelve frequent terms, and every third one a rare term that a few others have.
+    rng = np.random.default_rng(9)
+    x = np.hstack([rng.integers(1, 4, size=(240, 12)) * (rng.random((240, 12)) < 0.8), np.zeros((240, 20))]).astype(float)
+    x[::3, 12:] = 6.0 * np.eye(20)[rng.integers(0, 20, 80)]
+    x = np.unique(x[x.any(1)], axis=0)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, f"t{j}", float(w)) for i, r in enumerate(x) for j, w in enumerate(r) if w]
+    moved, keep = [], SIM.in_near_cells
+
+    def counted(placed, *more):
+        moved.append(placed.count())
+        return keep(placed, *more)
+
+    monkeypatch.setattr(SIM, "in_near_cells", counted)
+    weights = spark.createDataFrame(rows, "template_idx bigint, term string, weight double")
+    got = [(r["idx_a"], r["idx_b"]) for r in SIM.sparse_cosine_pairs(weights, 0.2917, block_rows=16, task_rows=100).collect()]
+    sim = x @ x.T
+    assert len(got) == len(set(got))
+    assert set(got) == {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if 1 - sim[i, j] <= 0.2917}
+    assert moved[0] < 2 * len(x)
+
+
+def test_lists_of_rare_terms_stay_apart():
+    rare = {"least": 0, "terms": 1_000_000, "rows": 2_000_000, "squares": 4e6, "last": 20_000}
+    often = {"least": 7 << 33, "terms": 400, "rows": 4_000_000, "squares": 4e10, "last": 80_000}
+    assert SIM._merged_from([rare, often], 8192) == 7 << 33
+    assert SIM._merged_from([rare], 8192) is None
+    assert SIM._merged_from([], 8192) is None
