@@ -561,3 +561,21 @@ def test_lists_of_rare_terms_stay_apart():
     assert SIM._merged_from([rare, often], 8192) == 7 << 33
     assert SIM._merged_from([rare], 8192) is None
     assert SIM._merged_from([], 8192) is None
+
+
+@pytest.mark.parametrize("held", [0, 150 * 8, 1 << 20])
+def test_average_linkage_with_held_and_stored_rounds(spark, monkeypatch, held):
+    # Between stored tables, by the driver from the third round or so on, and by the driver from the first one.
+    stored, keep = [], C.cut_lineage
+    monkeypatch.setattr(C, "HELD_VALUES", held)
+    monkeypatch.setattr(C, "ROUND_TILE", 1000)
+    monkeypatch.setattr(C, "cut_lineage", lambda rows, name: (stored.append(name), keep(rows, name))[1])
+    x = np.vstack([cloud(11, 240, 8), np.zeros((1, 8))])
+    progress = []
+    got = sorted(tuple(r) for r in C.average_linkage(frame(spark, x), block_rows=64, finish_at=7, progress=progress).collect())
+    assert (len(stored) == 2) == (held == 1 << 20)
+    assert progress[-1]["clusters"] > 7 and all(p["distances"] == p["clusters"] * p["compared"] for p in progress)
+    monkeypatch.setattr(C, "HELD_VALUES", 0)
+    want = sorted(tuple(r) for r in C.average_linkage(frame(spark, x), finish_at=500).collect())
+    assert [(r[0], r[1], r[3]) for r in got] == [(r[0], r[1], r[3]) for r in want]
+    assert all(abs(r[2] - s[2]) < 1e-9 for r, s in zip(got, want))
