@@ -1,5 +1,6 @@
 """Mining that moves no array where a length has a few clusters, and splits words without a pattern per row."""
 
+import os
 import random
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from logloom.functions.patterns import BLANKS, OUTER_BLANKS, STAMP
 from logloom.functions.text import strip, tokenize
 from logloom.operators import templates as T
+from logloom.operators.numbering import shared_folder
 from tests.test_template_mining import W, frame, messages, model, run
 
 
@@ -58,3 +60,19 @@ def test_words_of_plain_and_odd_texts(spark):
     assert df.filter(~tokenize(F.col("t")).eqNullSafe(F.array_remove(F.split(plain, BLANKS), ""))).isEmpty()
     assert df.filter(~strip(F.col("t")).eqNullSafe(F.regexp_replace("t", OUTER_BLANKS, ""))).isEmpty()
     assert r"　]+" not in df.select(tokenize(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_only_tables_of_the_result_stay(spark):
+    def tables():
+        folder = shared_folder(spark).removeprefix("file:") + "/logloom"
+        return set(os.listdir(folder)) if os.path.isdir(folder) else set()
+
+    before, texts = tables(), [*messages(7, 120), f"{W} {W} c d"]
+    got, mined = run(spark, texts, 0.75, batch=20)
+    mined = T.mine_templates(frame(spark, texts), 0.75, 20)
+    stay = {name.rsplit("-", 1)[0] for name in tables() - before}
+    assert mined.rounds > 1 and mined.lone is not None
+    assert not stay & {"arrays", "keys", "edges", "left", "mined", "tested", "accepted", "fresh", "known"}
+    # The result is read after the other tables have gone.
+    assert got == model(texts, 0.75)
+    assert mined.lone.count() and mined.versions.count() and mined.assignments.count()
